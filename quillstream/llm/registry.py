@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, url_filter, warc
+from . import exact_dedup, langid, mixing, packing, url_filter, warc
 
-QUERIES = {"op3_exact_dedup": exact_dedup.op3_exact_dedup, "op7_url_filter": url_filter.op7_url_filter, "op9_warc": warc.op9_warc}
-ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op7_url_filter": url_filter.SQL, "op9_warc": warc.SQL}
+QUERIES = {
+    "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_langid": langid.op4_langid,
+    "op5_mixing": mixing.op5_mixing,
+    "op7_url_filter": url_filter.op7_url_filter,
+    "op8_packing": packing.op8_packing,
+    "op9_warc": warc.op9_warc,
+}
+ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_url_filter": url_filter.SQL, "op9_warc": warc.SQL}
