@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, mixing, packing, url_filter, warc
+from . import embedding_dedup, exact_dedup, langid, mixing, packing, shards, url_filter, warc
 
 QUERIES = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_langid": langid.op4_langid,
     "op5_mixing": mixing.op5_mixing,
+    "op6_shards": shards.op6_shards,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_packing": packing.op8_packing,
     "op9_warc": warc.op9_warc,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 ORACLE_SQL = {"op3_exact_dedup": exact_dedup.SQL, "op5_mixing": mixing.SQL, "op7_url_filter": url_filter.SQL, "op9_warc": warc.SQL}
