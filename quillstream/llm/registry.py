@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, langid, mixing, packing, shards, suffix_dedup, url_filter, warc
+from . import embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, packing, shards, suffix_dedup, url_filter, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_minhash_dedup": minhash_dedup.op2_minhash_dedup,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_langid": langid.op4_langid,
     "op5_mixing": mixing.op5_mixing,
