@@ -6,10 +6,11 @@ Equal sets are one class. Of every class one permutation of the hash ring places
 by k places, gives coordinate k of the signature; ``bands`` bands of ``rows`` coordinates make the buckets. A pair
 at the threshold 0.8 misses all buckets with probability below 1e-7.
 
-Classes in a common bucket are compared with the bucket's centre, never all with all: exact Jaccard on full sets
-confirms a link, links give components, and a bucket goes on to another round, without the centres it has used, for
-the members that are still in different components. As a used centre has met every member of another component, no
-pair of a bucket that could still join two components is left out when the rounds end; ``centres`` are tried at once.
+Documents of a bucket are first compared with its smallest one (exact Jaccard on full sets), and links give
+components. Those in buckets that still hold several components are dealt into new buckets of ``strict_bands`` bands
+of ``strict_rows`` further coordinates (miss below 1e-7 again), which part documents that merely share a passage. In
+each, the documents outside the largest component are asked against all the others, tile by tile, so no pair of a
+bucket that could still join two components is left out, and only links leave a tile, never pairs.
 
 A null doc_id links with nothing (component null, kept false). Rows with one doc_id are one node: it is linked if any
 of their texts is. Empty tables give empty results; other columns are ignored. Long texts are read whole.
@@ -23,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, setup, text_buffer, written
+from .common import Union, components, ragged, setup, text_buffer, written
 
 U, V = np.uint64, np.uint32
 
@@ -79,8 +80,8 @@ def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), sizes
 
 
-def signatures(sets: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.ndarray:
-    """Circulant MinHash coordinates of each non-empty set: permute once, then permute again after k shifts."""
+def signatures(sets: np.ndarray, sizes: np.ndarray, coordinates: int, first: int = 0) -> np.ndarray:
+    """Circulant MinHash coordinates of each non-empty set: permute once, then permute again after first + k shifts."""
     place = (mix64(sets + U(0x5851F42D4C957F2D)) >> U(32)).astype(V)
     out = np.zeros((len(sizes), coordinates), V)
     ends = np.cumsum(sizes)
@@ -94,7 +95,7 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.ndar
         starts = ends[i:j] - sizes[i:j] - begin
         buf, tmp = np.empty_like(x), np.empty_like(x)
         for k in range(coordinates):
-            np.add(x, V(k), out=buf)
+            np.add(x, V(first + k), out=buf)
             np.multiply(buf, V(0x9E3779B1), out=buf)
             np.right_shift(buf, V(15), out=tmp)
             np.bitwise_xor(buf, tmp, out=buf)
@@ -109,6 +110,15 @@ def signatures(sets: np.ndarray, sizes: np.ndarray, coordinates: int) -> np.ndar
     return out
 
 
+def band_codes(sets: np.ndarray, sizes: np.ndarray, bands: int, rows: int, first: int = 0) -> np.ndarray:
+    """A 64-bit code per set and band."""
+    sig = signatures(sets, sizes, bands * rows, first).astype(np.uint64).reshape(len(sizes), bands, rows)
+    h = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + np.zeros((len(sizes), 1), np.uint64)
+    for r in range(rows):
+        h = mix64(h ^ sig[:, :, r]) + U(r)
+    return h.view(np.int64)
+
+
 def _texts(b):
     raw, off = text_buffer(b.column("text"))
     raw, off = raw.tobytes(), off.tolist()
@@ -134,11 +144,7 @@ def _sign(k: int, bands: int, rows: int):
             for s, e in _runs(b, texts):
                 sets, sizes = shingle_sets(texts[s:e], k)
                 has = np.flatnonzero(sizes)
-                sig = signatures(sets, sizes[has], bands * rows).astype(np.uint64).reshape(len(has), bands, rows)
-                h = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + np.zeros((len(has), 1), np.uint64)
-                for r in range(rows):
-                    h = mix64(h ^ sig[:, :, r]) + U(r)
-                h = h.view(np.int64)
+                h = band_codes(sets, sizes[has], bands, rows)
                 keys, codes, at = [None] * (e - s), [None] * (e - s), 0
                 for m, i in enumerate(has.tolist()):
                     keys[i] = xxhash.xxh3_128_digest(sets[at : at + sizes[i]].tobytes())
@@ -163,6 +169,24 @@ def _full_sets(k: int):
     return run
 
 
+def _strict(bands: int, rows: int, first: int):
+    def run(batches):
+        for b in batches:
+            blobs = [v.as_buffer() for v in b.column("set")]
+            at = 0
+            while at < len(blobs):  # about a megabyte of sets at a time
+                end, held = at, 0
+                while end < len(blobs) and (held == 0 or held + blobs[end].size <= 1 << 20):
+                    held += blobs[end].size
+                    end += 1
+                part = [np.frombuffer(v, np.uint64) for v in blobs[at:end]]
+                h = band_codes(np.concatenate(part), np.array([len(v) for v in part]), bands, rows, first)
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in ("doc_id", "n_shingles")), pa.array(h.tolist(), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "codes"])
+                at = end
+
+    return run
+
+
 def _confirm(percent: int):
     def run(batches):
         for b in batches:
@@ -180,7 +204,63 @@ def _confirm(percent: int):
     return run
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, centres: int = 8) -> DataFrame:
+def _shared(rowset: DataFrame) -> DataFrame:
+    """The rows of buckets with several members; buckets with the same members are one (count, ends, sums of hashes)."""
+    sums = [F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(s)), 24)).alias(f"f{s}") for s in (1, 2)]
+    found = rowset.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *sums)
+    found = found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket"))
+    return rowset.join(found.select("bucket"), "bucket").select("bucket", "doc_id", "n_shingles")
+
+
+def _open(members: DataFrame, part: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their component as part."""
+    rows = members.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    mixed = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
+    return rows.join(mixed.select("bucket"), "bucket")
+
+
+def _tiles(live: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+    """Links that join components of one bucket.
+
+    Documents outside a bucket's largest component are asked against all its others, in tiles of about tile by
+    four tiles documents, so a bucket of any size is spread over tasks; only links leave a tile.
+    """
+    live = written(live.select("bucket", "doc_id", "part"), "live")
+    count = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.max(F.struct("m", "part")).alias("x"))
+    count = count.select("bucket", F.col("x.part").alias("main"), F.expr(f"cast(ceil(m / {4 * tile}) as int)").alias("across"), F.expr(f"cast(ceil((m - x.m) / {tile}) as int)").alias("down"))
+    rows = live.join(count, "bucket")
+    lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
+    members = rows.select("bucket", "doc_id", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, down - 1)")).alias("i"), (lot % F.col("across")).cast("int").alias("j"))
+    askers = rows.where("part <> main").select("bucket", "doc_id", F.lit(True).alias("asks"), (lot % F.col("down")).cast("int").alias("i"), F.explode(F.expr("sequence(0, across - 1)")).alias("j"))
+    both = members.union(askers).join(sets.select("doc_id", "part", "set"), "doc_id")
+    return written(both.groupBy("bucket", "i", "j").applyInArrow(_ask(percent), "a long, b long"), "links")
+
+
+def _ask(percent: int):
+    def run(table):
+        asks = np.array(table.column("asks").to_pylist(), bool)
+        ids, part = table.column("doc_id").to_pylist(), table.column("part").to_pylist()
+        sets = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        others = np.flatnonzero(~asks)
+        sizes = np.array([len(sets[i]) for i in others], np.int64)
+        whole = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.uint64)
+        order = np.argsort(whole, kind="stable")
+        whole, owner = whole[order], np.repeat(np.arange(len(others)), sizes)[order]
+        forest, out = Union(), ([], [])
+        for c in np.flatnonzero(asks).tolist():
+            q = sets[c]
+            lo, hi = np.searchsorted(whole, q, "left"), np.searchsorted(whole, q, "right")
+            both = np.bincount(owner[ragged(lo, hi - lo)], minlength=len(others))
+            for k in np.flatnonzero(100 * both >= percent * (len(q) + sizes - both)).tolist():
+                if forest.join(part[c], part[others[k]]):
+                    out[0].append(ids[c])
+                    out[1].append(ids[others[k]])
+        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
+
+    return run
+
+
+def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, strict_bands: int = 96, strict_rows: int = 8, tile: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; links need a Jaccard similarity of percent/100."""
     spark = docs.sparkSession
     setup(spark)
@@ -189,41 +269,23 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "codes")).alias("r")).select("key", "r.*")
     classes = written(classes, "classes")
     rowset = classes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))
-    # Buckets with the same members are one: count, ends and two sums of hashes tell them apart.
-    found = rowset.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *(F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(s)), 24)).alias(f"f{s}") for s in (1, 2)))
-    found = found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket"))
-    members = written(rowset.join(found.select("bucket"), "bucket").select("bucket", "doc_id", "n_shingles"), "members")
+    members = written(_shared(rowset), "members")
     asked = members.select("doc_id").distinct()
     sets = written(src.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, set binary").repartition("doc_id"), "sets")
-    live, links, part, turn = members, None, None, 0
-    while True:
-        if part is None:
-            live = live.withColumn("part", F.col("doc_id"))
-        else:
-            live = live.drop("part").join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-            open_ = live.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-            live = live.join(open_, "bucket")
-        live = written(live.select("bucket", "doc_id", "n_shingles", "part"), "live")
-        if turn and live.isEmpty():
-            break
-        # The first round takes the smallest document of a bucket; later ones several, drawn by different hashes.
-        order = [F.col("doc_id")] if not turn else [F.xxhash64("doc_id", F.lit(turn * 100 + c)) for c in range(centres)]
-        tops = live.groupBy("bucket").agg(F.array(*(F.min_by(F.struct("doc_id", "n_shingles", "part"), o) for o in order)).alias("c"))
-        tops = tops.select("bucket", F.explode(F.array_distinct("c")).alias("c")).select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"), F.col("c.part").alias("pb"))
-        pairs = live.join(tops, "bucket").where(f"part <> pb and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
-        pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        withset = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "sb"}), "b")
-        new = written(withset.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
-        if turn:
-            live = live.join(tops.select("bucket", F.col("b").alias("doc_id")), ["bucket", "doc_id"], "left_anti")
-        else:
-            live = live.join(tops.select("bucket", "b"), "bucket").where("doc_id <> b").drop("b")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            part = written(components(links), "parts")
-        elif part is None:
-            part = spark.createDataFrame([], "node long, component long")
-        turn += 1
+    # Every bucket's documents against its smallest one.
+    top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c")).select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
+    pairs = members.join(top, "bucket").where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
+    pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
+    withset = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "sb"}), "b")
+    links = written(withset.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    part = written(components(links), "parts")
+    left = _open(members, part)
+    # What stars leave apart: documents that share much but may not be alike. Stricter bands on further coordinates.
+    few = written(left.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("part").alias("part")).join(sets, "doc_id"), "few")
+    codes = few.mapInArrow(_strict(strict_bands, strict_rows, bands * rows), "doc_id long, n_shingles long, codes array<long>")
+    fresh = written(_shared(codes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))), "strict")
+    links = links.union(_tiles(_open(fresh, part), few, percent, tile))
+    part = written(components(links), "parts")
     rep = classes.select("key", F.col("doc_id").alias("node"))
     rep = rep.join(part, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
     out = signed.select("doc_id", "n_shingles", "key").join(rep, "key", "left")
