@@ -6,7 +6,7 @@ counts once however often it occurs, repeated entries count each. Keywords of up
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SCORES, UNCLASSIFIED, Scores
@@ -17,18 +17,14 @@ ZONES = ("chapter", "hinge", "text")
 
 def keyword_hits(questions: DataFrame, keywords: list[str], key: str, short: int = SCORES.short) -> DataFrame:
     """(key, zone, keyword) of distinct folded keywords found in each zone: one array filter per zone, no join."""
-    rows = questions.select(key, *(fold(F.col(z)).alias(z) for z in ZONES))
+    zones = F.array(*(F.struct(F.lit(z).alias("zone"), fold(F.col(z)).alias("t"), as_words(fold(F.col(z))).alias("w")) for z in ZONES))
+    # The explode keeps the folded text a value of its own; a projection would be folded again for every keyword.
+    rows = questions.select(key, F.explode(zones).alias("z")).select(key, "z.zone", F.col("z.t").alias("t"), F.col("z.w").alias("w"))
     brief, long = [k for k in keywords if len(k) <= short], [k for k in keywords if len(k) > short]
     none = F.array().cast("array<string>")
-
-    def found(zone: str) -> Column:
-        words = as_words(F.col(zone))
-        a = F.filter(F.lit(long), lambda k: F.contains(F.col(zone), k)) if long else none
-        b = F.filter(F.lit(brief), lambda k: F.contains(words, F.concat(F.lit(" "), k, F.lit(" ")))) if brief else none
-        return F.concat(a, b)
-
-    zones = F.array(*(F.struct(F.lit(z).alias("zone"), found(z).alias("hits")) for z in ZONES))
-    return rows.select(key, F.explode(zones).alias("z")).select(key, F.col("z.zone").alias("zone"), F.explode("z.hits").alias("folded"))
+    a = F.filter(F.lit(long), lambda k: F.contains(F.col("t"), k)) if long else none
+    b = F.filter(F.lit(brief), lambda k: F.contains(F.col("w"), F.concat(F.lit(" "), k, F.lit(" ")))) if brief else none
+    return rows.select(key, "zone", F.explode(F.concat(a, b)).alias("folded"))
 
 
 def topic_scores(questions: DataFrame, taxonomy: DataFrame, key: str, scores: Scores = SCORES) -> DataFrame:

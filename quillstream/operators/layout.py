@@ -4,10 +4,22 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import LAYOUT, Layout
 
 
+def per_page(df: DataFrame, key: list[str], run, schema: str) -> DataFrame:
+    """run on each page's rows; pages are handed over many at a time, a shuffle partition's quarter or so."""
+    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def many(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [run(g) for _, g in pdf.groupby(key, sort=False, dropna=False)]
+        return pd.concat(out, ignore_index=True)
+
+    return df.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).alias("__pages")).applyInPandas(many, schema)
+
+
 def near(a, b, gap: float) -> bool:
     return max(0.0, a[0] - b[2], b[0] - a[2]) <= gap and max(0.0, a[1] - b[3], b[1] - a[3]) <= gap
 
@@ -41,7 +53,7 @@ def merge_rects(rects: DataFrame, key: list[str], gaps: tuple = LAYOUT.table_gap
         return out
 
     fields = ", ".join(f"{k} {dict(rects.dtypes)[k]}" for k in key)
-    return rects.groupBy(*key).applyInPandas(run, f"{fields}, part int, x0 double, y0 double, x1 double, y1 double")
+    return per_page(rects, key, run, f"{fields}, part int, x0 double, y0 double, x1 double, y1 double")
 
 
 def joined_text(spans: list[dict], gap: float) -> str:
@@ -80,7 +92,7 @@ def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> Da
         return table
 
     fields = ", ".join(f"{k} {dict(spans.dtypes)[k]}" for k in key)
-    return spans.groupBy(*key).applyInPandas(run, f"{fields}, line_no int, text string, x0 double, y0 double, x1 double, y1 double, bold_share double")
+    return per_page(spans, key, run, f"{fields}, line_no int, text string, x0 double, y0 double, x1 double, y1 double, bold_share double")
 
 
 def merge_bold(lines: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
@@ -101,4 +113,4 @@ def merge_bold(lines: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFr
         return out
 
     fields = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in key)
-    return lines.where(f"bold_share >= {cfg.bold_share} and text <> ''").groupBy(*key).applyInPandas(run, f"{fields}, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    return per_page(lines.where(f"bold_share >= {cfg.bold_share} and text <> ''"), key, run, f"{fields}, block_no int, text string, x0 double, y0 double, x1 double, y1 double")

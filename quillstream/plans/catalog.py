@@ -43,13 +43,14 @@ def zones(spark: SparkSession, d: str) -> DataFrame:
 _NORM = "trim(regexp_replace(lower(coalesce({c}, '')), '[\\x09-\\x0D\\x1C-\\x20\\x{{85}}\\x{{A0}}]+', ' ', 'g'))"
 _FOLD = f"translate({_NORM}, 'áéíóúüñ', 'aeiouun')"
 _TAX = "tax(topic_pos, topic_id, topic_name, kw_pos, keyword) AS (VALUES " + ", ".join(f"({p}, '{i}', '{n}', {k}, '{w}')" for p, (i, n, ws) in enumerate(TAXONOMY) for k, w in enumerate(ws)) + ")"
-_Z = f"z AS (SELECT doc_id, {_FOLD.format(c='source')} AS chapter, {_FOLD.format(c=chr(115) + 'plit_part(text, chr(10), 1)')} AS hinge, {_FOLD.format(c='text')} AS body FROM documents)"
-_WORDS = "(' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ')"
+_Z = f"z0 AS MATERIALIZED (SELECT doc_id, {_FOLD.format(c='source')} AS chapter, {_FOLD.format(c=chr(115) + 'plit_part(text, chr(10), 1)')} AS hinge, {_FOLD.format(c='text')} AS body FROM documents)"
+_WRD = "(' ' || regexp_replace({c}, '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g') || ' ')"
+_Z += ", z AS MATERIALIZED (SELECT *, " + ", ".join(f"{_WRD.format(c=c)} AS {c}_w" for c in ("chapter", "hinge", "body")) + " FROM z0)"
 _HIT = "(CASE WHEN length(f) <= 4 THEN contains({w}, ' ' || f || ' ') ELSE contains({c}, f) END)"
-_SCORE = " + ".join(f"CASE WHEN {_HIT.format(w=_WORDS.format(c=c), c=c)} THEN {n} ELSE 0 END" for c, n in (("chapter", 3.0), ("hinge", 5.0), ("body", 1.0)))
-_TOPICS = f"""{_TAX}, {_Z}, e AS (SELECT *, {_FOLD.format(c='keyword')} AS f FROM tax),
+_SCORE = " + ".join(f"CASE WHEN {_HIT.format(w=c + "_w", c=c)} THEN {n} ELSE 0 END" for c, n in (("chapter", 3.0), ("hinge", 5.0), ("body", 1.0)))
+_TOPICS = f"""{_TAX}, {_Z}, e AS MATERIALIZED (SELECT *, {_FOLD.format(c='keyword')} AS f FROM tax),
 s AS (SELECT doc_id, topic_pos, topic_id, topic_name, kw_pos, keyword, CAST({_SCORE} AS DOUBLE) AS s FROM z, e),
-t AS (SELECT doc_id, topic_pos, topic_id, topic_name, sum(s) AS score, string_agg(keyword, '|' ORDER BY kw_pos) FILTER (s > 0) AS matches FROM s GROUP BY ALL HAVING sum(s) >= 2)"""
+t AS MATERIALIZED (SELECT doc_id, topic_pos, topic_id, topic_name, sum(s) AS score, string_agg(keyword, '|' ORDER BY kw_pos) FILTER (s > 0) AS matches FROM s GROUP BY ALL HAVING sum(s) >= 2)"""
 
 
 @query("classify_documents", f"""WITH {_TOPICS},
