@@ -9,6 +9,8 @@ not the tokenizer, takes for white space are encoded whole.
 from __future__ import annotations
 
 import os
+import re
+from unicodedata import is_normalized as nfc
 
 import numpy as np
 
@@ -16,6 +18,8 @@ from .common import ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MARK = "<|endoftext|>"
+#: A point or comma that ends a word is a token run of its own, so it can be set apart without changing any id.
+STOP = re.compile(r"(?<=[^\W\d_])[.,](?=\s|\Z)")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -28,11 +32,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class Encoder:
     """ids of texts; ``most`` bounds the chunks remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
         self.mark = self.tok.token_to_id(MARK)
+        self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a run of letters
+        self.last[[v for k, v in self.tok.get_vocab().items() if k.endswith("</w>")]] = True
         self.reset()
 
     def reset(self):
@@ -53,7 +59,18 @@ class Encoder:
         self.code.update(zip(chunks, range(n, n + len(chunks))))
 
     def _learn(self, chunks: list[str]):
-        plain = [c for c in chunks if "<|" not in c]
+        plain, words = [], []
+        for c in chunks:
+            if "<|" not in c:
+                (words if c.isalpha() else plain).append(c)
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cuts = np.flatnonzero(self.last[ids])
+            if len(cuts) == len(part):  # a word of letters is one run
+                self._put(part, ids, np.diff(cuts, prepend=-1))
+            else:
+                plain += part
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
             ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -75,6 +92,8 @@ class Encoder:
                 odd[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
                 counts.append(0)
             else:
+                if "<|" not in t and "\u03a3" not in t and nfc("NFC", t) and nfc("NFC", low := t.lower()):
+                    t = STOP.sub(_apart, low)  # else special tokens, final sigma or combining marks mind their case
                 w = t.split()
                 words += w
                 counts.append(len(w))
@@ -91,6 +110,10 @@ class Encoder:
         return ids, lengths
 
 
+def _apart(m: re.Match) -> str:
+    return " " + m[0]
+
+
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
     if path not in _encoders:
