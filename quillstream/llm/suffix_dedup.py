@@ -1,18 +1,19 @@
 """Removal of repeated passages by suffix sorting.
 
 A byte goes if a ``width``-byte string that covers it also starts in a document with a smaller doc_id. Every such
-string picks an anchor, the least-hashed 24-gram inside it; equal strings pick the same one, so only strings with a
+string picks an anchor, the least-hashed 20-gram inside it; equal strings pick the same one, so only strings with a
 common anchor can be equal. Consecutive strings with one anchor form a segment. Three steps:
 
 1. Blocks of documents send, per distinct anchor, the digest of its segment (or a mark for several) and the smallest
    doc_id. One row per block and bucket, one entry per anchor and block, however often a passage repeats.
-2. Anchors with one segment everywhere are settled there. Of anchors with several, the blocks send every string of
-   their segments once, with the smallest doc_id; a bucket sorts those suffixes deep-shallow: multikey quicksort over
+2. Anchors with one segment everywhere are settled there. Of anchors with several, the blocks send their segments
+   again in runs of a few strings, keyed by the bytes common to the run, and most are settled or unique now. Of the
+   runs whose key still has several contents the blocks send every string once, with the smallest doc_id; a bucket sorts those suffixes deep-shallow: multikey quicksort over
    8-byte symbols to a shallow depth, then blind tries for the groups that still share a prefix. Equal strings meet
    on whole bytes.
 3. The blocks mark the repeated strings and return what is left.
 
-The three steps read one shuffle of the text. A null doc_id is larger than any other and is returned as null; rows
+All steps read one shuffle of the text. A null doc_id is larger than any other and is returned as null; rows
 with equal doc_id never count as earlier for one another. Null text is empty; texts under ``width`` bytes stay whole.
 An empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import blocks_for, ragged, setup, text_buffer
 
-GRAM = 24
+GRAM = 20
+RUN = 8
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 _mix = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
@@ -55,7 +57,7 @@ class Chunk:
         self.h = h
 
     def gram(self) -> np.ndarray:
-        return _join(self.h[16][: len(self.h[16]) - 8], self.h[8][16:])
+        return _join(self.h[16][: max(0, len(self.h[16]) - 4)], self.h[4][16:])
 
     def string(self, at: np.ndarray, width: int) -> np.ndarray:
         """Hashes of the width-byte strings at the given places; width is 32 to 64."""
@@ -63,7 +65,7 @@ class Chunk:
 
 
 def segments(raw: np.ndarray, off: np.ndarray, width: int):
-    """(document, first start, last start, anchor hash, segment digest) of all segments, in text order."""
+    """(document, first start, last start, anchor hash, segment digest, anchor place) of all segments, in text order."""
     out = []
     d = 0
     while d < len(off) - 1:
@@ -72,14 +74,14 @@ def segments(raw: np.ndarray, off: np.ndarray, width: int):
             e += 1
         out.append(_segments(raw[off[d] : off[e]], off[d : e + 1] - off[d], width, d, off[d]))
         d = e
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
 
 
 def _segments(raw, off, width, first, base):
     n = np.diff(off) - width + 1
     has = np.flatnonzero(n > 0)
     if not len(has):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     chunk = Chunk(raw)
     gram = chunk.gram()
     span = width - GRAM + 1
@@ -96,7 +98,7 @@ def _segments(raw, off, width, first, base):
     z = np.concatenate([cut, [len(starts)]]) - 1
     s, e = starts[a], starts[z]
     digest = _join(chunk.string(s, width), chunk.string(e, width)) + (e - s).astype(np.uint64) * _mix[3]
-    return np.searchsorted(off, s, "right") - 1 + first, s + base, e + base, gram[pick[a]], digest | U(1)
+    return np.searchsorted(off, s, "right") - 1 + first, s + base, e + base, gram[pick[a]], digest | U(1), pick[a] + base
 
 
 def _block(table):
@@ -106,25 +108,59 @@ def _block(table):
     return raw, off, ids
 
 
-def _anchors(raw, off, ids, width):
-    """Segments, and per distinct anchor: its hash, digest (0 for several), smallest doc; and each segment's anchor number."""
-    doc, s, e, h, dg = segments(raw, off, width)
-    uniq, inv = np.unique(h, return_inverse=True)
+def _grouped(keys, digests, owners):
+    """Distinct keys, each row's key number, and per key its digest (0 for several) and smallest owner."""
+    uniq, inv = np.unique(keys, return_inverse=True)
     order = np.argsort(inv, kind="stable")
     at = np.searchsorted(inv[order], np.arange(len(uniq)))
-    if len(uniq):
-        lo, hi = np.minimum.reduceat(dg[order], at), np.maximum.reduceat(dg[order], at)
-        least = np.minimum.reduceat(ids[doc[order]], at)
-    else:
-        lo = hi = np.zeros(0, np.uint64)
-        least = np.zeros(0, np.int64)
-    return doc, s, e, uniq, inv, np.where(lo == hi, lo, U(0)), least
+    if not len(uniq):
+        return uniq, inv, np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    lo, hi = np.minimum.reduceat(digests[order], at), np.maximum.reduceat(digests[order], at)
+    return uniq, inv, np.where(lo == hi, lo, U(0)), np.minimum.reduceat(owners[order], at)
+
+
+def _anchors(raw, off, ids, width):
+    """Segments (document, starts, place) and their grouping by anchor."""
+    doc, s, e, h, dg, place = segments(raw, off, width)
+    return doc, s, e, place, *_grouped(h, dg, ids[doc])
+
+
+def _runs(raw, doc, s, e, place, h, mine, width):
+    """The segments marked mine in runs of up to ``RUN`` strings at fixed places around the anchor.
+
+    All strings of a run hold its core, the bytes from the last possible start to the end of the first one, so only
+    runs with equal anchor, place and core can share a string: (document, first start, last start, key, digest).
+    """
+    doc, s, e, place, h = (x[mine] for x in (doc, s, e, place, h))
+    first, last = (place - e) // RUN, (place - s) // RUN
+    n = last - first + 1
+    seg, j = np.repeat(np.arange(len(s)), n), ragged(first, n)
+    top = place[seg] - RUN * j
+    a, z = np.maximum(s[seg], top - RUN + 1), np.minimum(e[seg], top)
+    core = _hashes(raw, top, width - RUN + 1)
+    key = _join(_join(h[seg], core), j.astype(np.uint64))
+    digest = _join(_hashes(raw, a, width), _hashes(raw, z, width)) + ((z - a) * 64 + (top - a)).astype(np.uint64) * _mix[3]
+    return doc[seg], a, z, key, digest | U(1)
+
+
+def _hashes(raw, at, width):
+    """Hashes of the width bytes at each place, the same wherever they stand."""
+    view = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else np.zeros((0, width), np.uint8)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(0, len(at), 1 << 16):
+        x = view[at[k : k + (1 << 16)]]
+        words = np.concatenate([x, np.zeros((len(x), -width % 8), np.uint8)], 1).view(np.uint64)
+        v = np.full(len(x), 7, np.uint64)
+        for c in range(words.shape[1]):
+            v = _join(v, words[:, c] * _mix[2])
+        h[k : k + (1 << 16)] = v
+    return h
 
 
 def _dealt(block: int, hashes: np.ndarray, buckets: int, columns: list[np.ndarray]):
     """Rows (bucket, block, blobs) of columns, dealt by the hashes."""
     b = ((hashes >> U(17)) % U(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
+    order = np.lexsort((columns[-1], b))  # runs of equal owners shrink well in the shuffle
     edge = np.searchsorted(b[order], np.arange(buckets + 1))
     rows = [[], [], *([] for _ in columns)]
     for k in range(buckets):
@@ -136,11 +172,38 @@ def _dealt(block: int, hashes: np.ndarray, buckets: int, columns: list[np.ndarra
     return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=["bucket", "block", "a", "b", "c"][: 2 + len(columns)])
 
 
+def _short(digest: np.ndarray) -> np.ndarray:
+    """The low six bytes; with the key's eight they tell contents apart."""
+    return np.ascontiguousarray(digest.view(np.uint8).reshape(-1, 8)[:, :6]).view("V6").ravel()
+
+
 def _entries(width, buckets):
     def run(table):
         raw, off, ids = _block(table)
-        _, _, _, uniq, _, dg, least = _anchors(raw, off, ids, width)
-        return _dealt(table.column("block")[0].as_py(), uniq, buckets, [uniq, dg, least])
+        *_, uniq, _, dg, least = _anchors(raw, off, ids, width)
+        return _dealt(table.column("block")[0].as_py(), uniq, buckets, [uniq, _short(dg), least])
+
+    return run
+
+
+NONE = ["bucket", "block", "a", "b", "c"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+
+
+def _nothing():
+    return pa.table([pa.array([], t) for t in NONE[1]], names=NONE[0])
+
+
+def _cores(width, buckets):
+    """Runs of the segments whose anchor has several segments."""
+
+    def run(docs, replies):
+        if not len(docs) or not len(replies):
+            return _nothing()
+        raw, off, ids = _block(docs)
+        doc, s, e, place, uniq, inv, _, _ = _anchors(raw, off, ids, width)
+        doc, _, _, key, dg = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
+        uniq, _, dg, least = _grouped(key, dg, ids[doc])
+        return _dealt(docs.column("block")[0].as_py(), uniq, buckets, [uniq, _short(dg), least])
 
     return run
 
@@ -163,9 +226,20 @@ def _replies(blocks, kinds, values):
     )
 
 
-def _settle(table):
-    """Of each anchor: kind 1 to blocks with no smallest holder if it has one segment everywhere, kind 2 if several."""
-    h, dg, least = _stack(table, "a", np.uint64), _stack(table, "b", np.uint64), _stack(table, "c", np.int64)
+def _settle(one: int, several_kind: int):
+    """Of each key: kind one to blocks without its smallest holder if it has one content everywhere, else several_kind."""
+
+    def run(table):
+        return _settled(table, one, several_kind)
+
+    return run
+
+
+def _settled(table, one, several_kind):
+    h, least = _stack(table, "a", np.uint64), _stack(table, "c", np.int64)
+    dg = np.zeros((len(h), 8), np.uint8)
+    dg[:, :6] = _stack(table, "b", np.uint8).reshape(-1, 6)
+    dg = dg.view(np.uint64).ravel()
     block = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in table.column("a").to_pylist()])
     order = np.argsort(h, kind="stable")
     h, dg, least, block = h[order], dg[order], least[order], block[order]
@@ -174,7 +248,7 @@ def _settle(table):
     several = np.repeat((np.minimum.reduceat(dg, at) != np.maximum.reduceat(dg, at)) | (np.minimum.reduceat(dg, at) == 0), size)
     first = np.repeat(np.minimum.reduceat(least, at), size)
     shared = np.repeat(size > 1, size)
-    kind = np.where(shared & several, 2, np.where(shared & (least > first), 1, 0))
+    kind = np.where(shared & several, several_kind, np.where(shared & (least > first), one, 0))
     some = kind > 0
     return _replies(block[some], kind[some], h[some])
 
@@ -190,20 +264,11 @@ def _within(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, x), len(sorted_set) - 1)] == x
 
 
-def _strings(raw, off, ids, doc, s, e, mine, width):
-    """Places, documents and hashes of all strings of the segments marked mine."""
-    at = ragged(s[mine], e[mine] - s[mine] + 1)
-    owner = np.repeat(doc[mine], e[mine] - s[mine] + 1)
-    view = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else np.zeros((0, width), np.uint8)
-    h = np.zeros(len(at), np.uint64)
-    for k in range(0, len(at), 1 << 16):  # the same hash wherever a string stands
-        x = view[at[k : k + (1 << 16)]]
-        words = np.concatenate([x, np.zeros((len(x), -width % 8), np.uint8)], 1).view(np.uint64)
-        v = np.full(len(x), 7, np.uint64)
-        for c in range(words.shape[1]):
-            v = _join(v, words[:, c] * _mix[2])
-        h[k : k + (1 << 16)] = v
-    return at, owner, h, view
+def _strings(raw, doc, s, e, mine, width):
+    """Places, documents and hashes of all strings of the runs marked mine."""
+    n = e[mine] - s[mine] + 1
+    at = ragged(s[mine], n)
+    return at, np.repeat(doc[mine], n), _hashes(raw, at, width)
 
 
 def _smallest(h, owner):
@@ -215,15 +280,17 @@ def _smallest(h, owner):
 
 
 def _suffixes(width, buckets):
+    """Every string of the runs whose core has several contents."""
+
     def run(docs, replies):
-        names = ["bucket", "block", "a", "b", "c"]
         if not len(docs) or not len(replies):
-            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], names=names)
+            return _nothing()
         raw, off, ids = _block(docs)
-        doc, s, e, uniq, inv, _, _ = _anchors(raw, off, ids, width)
-        mine = _within(uniq, _known(replies, 2))[inv]
-        at, owner, h, view = _strings(raw, off, ids, doc, s, e, mine, width)
+        doc, s, e, place, uniq, inv, _, _ = _anchors(raw, off, ids, width)
+        doc, s, e, key, _ = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
+        at, owner, h = _strings(raw, doc, s, e, _within(key, _known(replies, 5)), width)
         h, one, _, least = _smallest(h, ids[owner])
+        view = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else np.zeros((0, width), np.uint8)
         text = np.ascontiguousarray(view[at[one]]).view(f"V{width}").ravel() if len(one) else np.zeros(0, f"V{width}")
         return _dealt(docs.column("block")[0].as_py(), h, buckets, [h, text, least])
 
@@ -344,16 +411,20 @@ def _finish(width, with_text: bool):
         if not len(docs):
             return pa.table([pa.array([], t) for t in kinds], names=names)
         raw, off, ids = _block(docs)
-        doc, s, e, uniq, inv, dg, least = _anchors(raw, off, ids, width)
-        several = _within(uniq, _known(replies, 2))[inv]
-        elsewhere = _within(uniq, _known(replies, 1))[inv]
-        # A block's own anchors with several segments are settled like those that other blocks share.
-        several |= (dg == 0)[inv]
-        gone = ~several & (elsewhere | (ids[doc] > least[inv]))
+        doc, s, e, place, uniq, inv, dg, least = _anchors(raw, off, ids, width)
+        # A block's own anchors and runs with several contents are settled like those that other blocks share.
+        several = _within(uniq, _known(replies, 2))[inv] | (dg == 0)[inv]
+        gone = ~several & (_within(uniq, _known(replies, 1))[inv] | (ids[doc] > least[inv]))
         step = np.zeros(len(raw) + 1, np.int32)
         np.add.at(step, s[gone], 1)
         np.add.at(step, e[gone] + width, -1)
-        at, owner, h, _ = _strings(raw, off, ids, doc, s, e, several, width)
+        doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], several, width)
+        uniq, inv, dg, least = _grouped(key, dg, ids[doc])
+        several = _within(uniq, _known(replies, 5))[inv] | (dg == 0)[inv]
+        gone = ~several & (_within(uniq, _known(replies, 4))[inv] | (ids[doc] > least[inv]))
+        np.add.at(step, s[gone], 1)
+        np.add.at(step, e[gone] + width, -1)
+        at, owner, h = _strings(raw, doc, s, e, several, width)
         uniq_h, _, inv_h, least_h = _smallest(h, ids[owner])
         later = _within(uniq_h, _known(replies, 3))[inv_h] | (ids[owner] > least_h[inv_h])
         np.add.at(step, at[later], 1)
@@ -392,10 +463,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 2 << 20,
     src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n))).repartition(parts, "block")
     dealt = "bucket long, block long, a binary, b binary, c binary"
     reply = "block long, kind long, v binary"
-    first = src.groupBy("block").applyInArrow(_entries(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle, reply)
-    second = src.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(_suffixes(width, buckets), dealt).groupBy("bucket").applyInArrow(_sorted_groups(width), reply)
+    by = src.groupBy("block")
+    first = by.applyInArrow(_entries(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(1, 2), reply)
+    second = by.cogroup(first.groupBy("block")).applyInArrow(_cores(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(4, 5), reply)
+    both = first.where("kind = 2").union(second.where("kind = 5"))
+    third = by.cogroup(both.groupBy("block")).applyInArrow(_suffixes(width, buckets), dealt).groupBy("bucket").applyInArrow(_sorted_groups(width), reply)
     schema = RESULT + ", kept_text binary" * with_text
-    return src.groupBy("block").cogroup(first.union(second).groupBy("block")).applyInArrow(_finish(width, with_text), schema)
+    return src.groupBy("block").cogroup(first.union(second).union(third).groupBy("block")).applyInArrow(_finish(width, with_text), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
