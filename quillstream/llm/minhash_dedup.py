@@ -21,6 +21,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -157,43 +158,55 @@ def _sign(k: int, bands: int, rows: int):
     return run
 
 
-def _full_sets(k: int):
-    def run(batches):
-        for b in batches:
-            texts = _texts(b)
-            for s, e in _runs(b, texts):
-                sets, sizes = shingle_sets(texts[s:e], k)
-                edge = [0, *np.cumsum(sizes).tolist()]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(s, e - s), pa.array([sets[i:j].tobytes() for i, j in zip(edge, edge[1:])], pa.binary())], ["doc_id", "set"])
+def _pack(batches):
+    """Lower-cased words of each text, one space apart, compressed: a fraction of the bytes of its shingle set; null without words."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        words = [b" ".join(t.lower().split()) for t in _texts(b)]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([squeeze(w) if w else None for w in words], pa.binary())], ["doc_id", "words"])
 
-    return run
+
+def _unpacked(column, k: int, most: int = 1 << 20):
+    """Slices (first, end, sets, sizes) of packed texts, about most bytes of text each."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    texts, held, at = [], 0, 0
+    for i, v in enumerate(column):
+        texts.append(open_(v.as_buffer()))
+        held += len(texts[-1])
+        if held >= most or i == len(column) - 1:
+            yield (at, i + 1, *shingle_sets(texts, k))
+            texts, held, at = [], 0, i + 1
+
+
+def _sets(column, k: int) -> list[np.ndarray]:
+    """The shingle set of each packed text."""
+    out = []
+    for _, _, sets, sizes in _unpacked(column, k):
+        out += np.split(sets, np.cumsum(sizes)[:-1])
+    return out
 
 
-def _strict(bands: int, rows: int, first: int):
+def _strict(k: int, bands: int, rows: int, first: int):
     def run(batches):
         for b in batches:
-            blobs = [v.as_buffer() for v in b.column("set")]
-            at = 0
-            while at < len(blobs):  # about a megabyte of sets at a time
-                end, held = at, 0
-                while end < len(blobs) and (held == 0 or held + blobs[end].size <= 1 << 20):
-                    held += blobs[end].size
-                    end += 1
-                part = [np.frombuffer(v, np.uint64) for v in blobs[at:end]]
-                h = band_codes(np.concatenate(part), np.array([len(v) for v in part]), bands, rows, first)
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, end - at) for c in ("doc_id", "n_shingles")), pa.array(h.tolist(), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "codes"])
-                at = end
+            for at, end, sets, sizes in _unpacked(b.column("words"), k):
+                h = band_codes(sets, sizes, bands, rows, first)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, end - at), pa.array(h.tolist(), pa.list_(pa.int64()))], ["doc_id", "codes"])
 
     return run
 
 
-def _confirm(percent: int):
+def _confirm(k: int, percent: int):
     def run(batches):
         for b in batches:
             a, c, good = b.column("a").to_pylist(), b.column("b").to_pylist(), []
-            x, y = b.column("sa"), b.column("sb")
-            for i in range(len(a)):
-                p, q = (np.frombuffer(v[i].as_buffer(), np.uint64) for v in (x, y))
+            sets = _sets(b.column("wa"), k)
+            held = centre = None
+            for i, p in enumerate(sets):
+                packed = b.column("wb")[i]
+                if packed != held:  # rows of one centre mostly follow each other
+                    held, (centre,) = packed, _sets([packed], k)
+                q = centre
                 if len(p) > len(q):
                     p, q = q, p
                 both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum()) if len(p) else 0
@@ -209,7 +222,7 @@ def _shared(rowset: DataFrame) -> DataFrame:
     sums = [F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(s)), 24)).alias(f"f{s}") for s in (1, 2)]
     found = rowset.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *sums)
     found = found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket"))
-    return rowset.join(found.select("bucket"), "bucket").select("bucket", "doc_id", "n_shingles")
+    return rowset.join(found.select("bucket"), "bucket")
 
 
 def _open(members: DataFrame, part: DataFrame) -> DataFrame:
@@ -219,7 +232,7 @@ def _open(members: DataFrame, part: DataFrame) -> DataFrame:
     return rows.join(mixed.select("bucket"), "bucket")
 
 
-def _tiles(live: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFrame:
+def _tiles(live: DataFrame, packed: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
     """Links that join components of one bucket.
 
     Documents outside a bucket's largest component are asked against all its others, in tiles of about tile by
@@ -232,15 +245,15 @@ def _tiles(live: DataFrame, sets: DataFrame, percent: int, tile: int) -> DataFra
     lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     members = rows.select("bucket", "doc_id", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, down - 1)")).alias("i"), (lot % F.col("across")).cast("int").alias("j"))
     askers = rows.where("part <> main").select("bucket", "doc_id", F.lit(True).alias("asks"), (lot % F.col("down")).cast("int").alias("i"), F.explode(F.expr("sequence(0, across - 1)")).alias("j"))
-    both = members.union(askers).join(sets.select("doc_id", "part", "set"), "doc_id")
-    return written(both.groupBy("bucket", "i", "j").applyInArrow(_ask(percent), "a long, b long"), "links")
+    both = members.union(askers).join(packed.select("doc_id", "part", "words"), "doc_id")
+    return written(both.groupBy("bucket", "i", "j").applyInArrow(_ask(k, percent), "a long, b long"), "links")
 
 
-def _ask(percent: int):
+def _ask(k: int, percent: int):
     def run(table):
         asks = np.array(table.column("asks").to_pylist(), bool)
         ids, part = table.column("doc_id").to_pylist(), table.column("part").to_pylist()
-        sets = [np.frombuffer(v, np.uint64) for v in table.column("set").to_pylist()]
+        sets = _sets(table.column("words"), k)
         others = np.flatnonzero(~asks)
         sizes = np.array([len(sets[i]) for i in others], np.int64)
         whole = np.concatenate([sets[i] for i in others]) if len(others) else np.zeros(0, np.uint64)
@@ -251,10 +264,10 @@ def _ask(percent: int):
             q = sets[c]
             lo, hi = np.searchsorted(whole, q, "left"), np.searchsorted(whole, q, "right")
             both = np.bincount(owner[ragged(lo, hi - lo)], minlength=len(others))
-            for k in np.flatnonzero(100 * both >= percent * (len(q) + sizes - both)).tolist():
-                if forest.join(part[c], part[others[k]]):
+            for o in np.flatnonzero(100 * both >= percent * (len(q) + sizes - both)).tolist():
+                if forest.join(part[c], part[others[o]]):
                     out[0].append(ids[c])
-                    out[1].append(ids[others[k]])
+                    out[1].append(ids[others[o]])
         return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
 
     return run
@@ -271,20 +284,21 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     rowset = classes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))
     members = written(_shared(rowset), "members")
     asked = members.select("doc_id").distinct()
-    sets = written(src.join(asked, "doc_id", "left_semi").mapInArrow(_full_sets(shingle), "doc_id long, set binary").repartition("doc_id"), "sets")
+    # Packed before the join: texts travel as compressed words, and sets are made where they are compared.
+    packed = written(src.mapInArrow(_pack, "doc_id long, words binary").where("words is not null").join(asked, "doc_id", "left_semi"), "packed")
     # Every bucket's documents against its smallest one.
     top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c")).select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
     pairs = members.join(top, "bucket").where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
     pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-    withset = pairs.join(sets.withColumnsRenamed({"doc_id": "a", "set": "sa"}), "a").join(sets.withColumnsRenamed({"doc_id": "b", "set": "sb"}), "b")
-    links = written(withset.select("a", "b", "sa", "sb").mapInArrow(_confirm(percent), "a long, b long"), "links")
+    both = pairs.join(packed.withColumnsRenamed({"doc_id": "a", "words": "wa"}), "a").join(packed.withColumnsRenamed({"doc_id": "b", "words": "wb"}), "b")
+    links = written(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
     part = written(components(links), "parts")
     left = _open(members, part)
     # What stars leave apart: documents that share much but may not be alike. Stricter bands on further coordinates.
-    few = written(left.groupBy("doc_id").agg(F.first("n_shingles").alias("n_shingles"), F.first("part").alias("part")).join(sets, "doc_id"), "few")
-    codes = few.mapInArrow(_strict(strict_bands, strict_rows, bands * rows), "doc_id long, n_shingles long, codes array<long>")
-    fresh = written(_shared(codes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))), "strict")
-    links = links.union(_tiles(_open(fresh, part), few, percent, tile))
+    few = written(left.groupBy("doc_id").agg(F.first("part").alias("part")).join(packed, "doc_id"), "few")
+    codes = few.mapInArrow(_strict(shingle, strict_bands, strict_rows, bands * rows), "doc_id long, codes array<long>")
+    fresh = written(_shared(codes.select("doc_id", F.explode("codes").alias("bucket"))), "strict")
+    links = links.union(_tiles(_open(fresh, part), few, shingle, percent, tile))
     part = written(components(links), "parts")
     rep = classes.select("key", F.col("doc_id").alias("node"))
     rep = rep.join(part, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
