@@ -8,9 +8,9 @@ common anchor can be equal. Consecutive strings with one anchor form a segment.
    doc_id. One row per block and bucket, one entry per anchor and block, however often a passage repeats.
 2. Anchors with one segment everywhere are settled there. Of anchors with several, the blocks send their segments
    again in runs of a few strings, keyed by the bytes common to the run, and most are settled or unique now. Of the
-   runs whose key still has several contents the blocks send every string once, with the smallest doc_id; a bucket sorts those suffixes deep-shallow: multikey quicksort over
-   8-byte symbols to a shallow depth, then blind tries for the groups that still share a prefix. Equal strings meet
-   on whole bytes.
+   runs whose key still has several contents the blocks send every run's text once, with the smallest doc_id; a bucket
+   sorts the strings in them as suffixes, deep-shallow: multikey quicksort over 8-byte symbols to a shallow depth, then
+   blind tries for the groups that still share a prefix. Equal strings meet on whole bytes.
 3. The blocks mark the repeated strings and return what is left.
 
 All steps read one shuffle of the text. A null doc_id is larger than any other and is returned as null; rows
@@ -31,6 +31,8 @@ from .common import blocks_for, ragged, setup, text_buffer
 
 GRAM = 20
 RUN = 8
+#: Runs that more blocks share send their strings one by one, so no bucket gathers a frequent passage's surroundings.
+HOT = 256
 LAST = np.iinfo(np.int64).max
 U = np.uint64
 _mix = [U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0xD6E8FEB86659FD93)]
@@ -226,16 +228,17 @@ def _replies(blocks, kinds, values):
     )
 
 
-def _settle(one: int, several_kind: int):
-    """Of each key: kind one to blocks without its smallest holder if it has one content everywhere, else several_kind."""
+def _settle(one: int, several_kind: int, hot_kind: int):
+    """Of each key: kind one to blocks without its smallest holder if it has one content everywhere, else several_kind,
+    or hot_kind if over HOT blocks hold it."""
 
     def run(table):
-        return _settled(table, one, several_kind)
+        return _settled(table, one, several_kind, hot_kind)
 
     return run
 
 
-def _settled(table, one, several_kind):
+def _settled(table, one, several_kind, hot_kind):
     h, least = _stack(table, "a", np.uint64), _stack(table, "c", np.int64)
     dg = np.zeros((len(h), 8), np.uint8)
     dg[:, :6] = _stack(table, "b", np.uint8).reshape(-1, 6)
@@ -247,8 +250,8 @@ def _settled(table, one, several_kind):
     size = np.diff(np.append(at, len(h)))
     several = np.repeat((np.minimum.reduceat(dg, at) != np.maximum.reduceat(dg, at)) | (np.minimum.reduceat(dg, at) == 0), size)
     first = np.repeat(np.minimum.reduceat(least, at), size)
-    shared = np.repeat(size > 1, size)
-    kind = np.where(shared & several, several_kind, np.where(shared & (least > first), one, 0))
+    shared, hot = np.repeat(size > 1, size), np.repeat(size > HOT, size)
+    kind = np.where(shared & several, np.where(hot, hot_kind, several_kind), np.where(shared & (least > first), one, 0))
     some = kind > 0
     return _replies(block[some], kind[some], h[some])
 
@@ -280,19 +283,27 @@ def _smallest(h, owner):
 
 
 def _suffixes(width, buckets):
-    """Every string of the runs whose core has several contents."""
+    """The runs whose core has several contents, each as the one text that holds its strings, then their number.
+
+    Strings of runs that very many blocks share are runs of their own here, so they are dealt one by one.
+    """
 
     def run(docs, replies):
         if not len(docs) or not len(replies):
             return _nothing()
         raw, off, ids = _block(docs)
         doc, s, e, place, uniq, inv, _, _ = _anchors(raw, off, ids, width)
-        doc, s, e, key, _ = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
-        at, owner, h = _strings(raw, doc, s, e, _within(key, _known(replies, 5)), width)
-        h, one, _, least = _smallest(h, ids[owner])
-        view = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else np.zeros((0, width), np.uint8)
-        text = np.ascontiguousarray(view[at[one]]).view(f"V{width}").ravel() if len(one) else np.zeros(0, f"V{width}")
-        return _dealt(docs.column("block")[0].as_py(), h, buckets, [h, text, least])
+        doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
+        few = _within(key, _known(replies, 5))
+        at, owner, h = _strings(raw, doc, s, e, _within(key, _known(replies, 6)), width)
+        key, dg = np.concatenate([key[few], h]), np.concatenate([dg[few], h])
+        s, e, doc = np.concatenate([s[few], at]), np.concatenate([e[few], at]), np.concatenate([doc[few], owner])
+        _, one, _, least = _smallest(_join(key, dg), ids[doc])
+        size = e[one] - s[one] + width
+        text = np.zeros((len(one), width + RUN), np.uint8)
+        text[np.repeat(np.arange(len(one)), size), ragged(np.zeros_like(size), size)] = raw[ragged(s[one], size)]
+        text[:, -1] = size - width + 1
+        return _dealt(docs.column("block")[0].as_py(), key[one], buckets, [key[one], text.view(f"V{width + RUN}").ravel(), least])
 
     return run
 
@@ -389,13 +400,20 @@ def deep_shallow(text: np.ndarray, shallow: int = 2) -> tuple[np.ndarray, np.nda
 def _sorted_groups(width):
     def run(table):
         h, least = _stack(table, "a", np.uint64), _stack(table, "c", np.int64)
-        text = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8).reshape(len(h), width)
+        runs = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8).reshape(len(h), width + RUN)
         block = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in table.column("a").to_pylist()])
+        n = runs[:, -1].astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        text = np.lib.stride_tricks.sliding_window_view(runs, width, 1)[row, ragged(np.zeros_like(n), n)]
+        h, least, block = _hashes(text.ravel(), np.arange(len(text)) * width, width), least[row], block[row]
         order, group = deep_shallow(text)
         first = np.full(group[-1] + 1 if len(group) else 0, LAST)
         np.minimum.at(first, group, least[order])
-        later = least[order] > first[group]
-        rows = order[later]
+        # A block may hold a string in several runs: it hears of it only if none of them has the smallest doc_id.
+        at = np.lexsort((least[order], block[order], group))
+        order, group = order[at], group[at]
+        lead = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(block[order]) != 0)]) if len(order) else np.zeros(0, bool)
+        rows = order[lead & (least[order] > first[group])]
         return _replies(block[rows], np.full(len(rows), 3), h[rows])
 
     return run
@@ -420,7 +438,7 @@ def _finish(width, with_text: bool):
         np.add.at(step, e[gone] + width, -1)
         doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], several, width)
         uniq, inv, dg, least = _grouped(key, dg, ids[doc])
-        several = _within(uniq, _known(replies, 5))[inv] | (dg == 0)[inv]
+        several = (_within(uniq, _known(replies, 5)) | _within(uniq, _known(replies, 6)) | (dg == 0))[inv]
         gone = ~several & (_within(uniq, _known(replies, 4))[inv] | (ids[doc] > least[inv]))
         np.add.at(step, s[gone], 1)
         np.add.at(step, e[gone] + width, -1)
@@ -464,9 +482,9 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 2 << 20,
     dealt = "bucket long, block long, a binary, b binary, c binary"
     reply = "block long, kind long, v binary"
     by = src.groupBy("block")
-    first = by.applyInArrow(_entries(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(1, 2), reply)
-    second = by.cogroup(first.groupBy("block")).applyInArrow(_cores(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(4, 5), reply)
-    both = first.where("kind = 2").union(second.where("kind = 5"))
+    first = by.applyInArrow(_entries(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(1, 2, 2), reply)
+    second = by.cogroup(first.groupBy("block")).applyInArrow(_cores(width, buckets), dealt).groupBy("bucket").applyInArrow(_settle(4, 5, 6), reply)
+    both = first.where("kind = 2").union(second.where("kind in (5, 6)"))
     third = by.cogroup(both.groupBy("block")).applyInArrow(_suffixes(width, buckets), dealt).groupBy("bucket").applyInArrow(_sorted_groups(width), reply)
     schema = RESULT + ", kept_text binary" * with_text
     return src.groupBy("block").cogroup(first.union(second).union(third).groupBy("block")).applyInArrow(_finish(width, with_text), schema)
