@@ -13,7 +13,7 @@ common anchor can be equal. Consecutive strings with one anchor form a segment.
    blind tries for the groups that still share a prefix. Equal strings meet on whole bytes.
 3. The blocks mark the repeated strings and return what is left.
 
-All steps read one shuffle of the text. A null doc_id is larger than any other and is returned as null; rows
+All steps read one shuffle of the compressed text. A null doc_id is larger than any other and is returned as null; rows
 with equal doc_id never count as earlier for one another. Null text is empty; texts under ``width`` bytes stay whole.
 An empty table gives an empty result; other columns are ignored.
 """
@@ -24,6 +24,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +104,20 @@ def _segments(raw, off, width, first, base):
     return np.searchsorted(off, s, "right") - 1 + first, s + base, e + base, gram[pick[a]], digest | U(1), pick[a] + base
 
 
+def _squeezed(batches):
+    """The texts in UTF-8, each compressed by itself; null counts as empty."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        raw, off = text_buffer(b.column("text"))
+        raw, off = raw.tobytes(), off.tolist()
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("block"), pa.array([squeeze(raw[i:j]) for i, j in zip(off, off[1:])], pa.binary())], ["doc_id", "block", "text"])
+
+
 def _block(table):
     table = table.sort_by([("doc_id", "ascending")])
-    raw, off = text_buffer(table.column("text"))
+    open_ = zstandard.ZstdDecompressor().decompress
+    texts = [open_(v.as_buffer()) for v in table.column("text")]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
     ids = table.column("doc_id").fill_null(LAST).to_numpy().astype(np.int64)
     return raw, off, ids
 
@@ -478,7 +490,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 2 << 20,
     n = blocks_for(docs, block_bytes, 64)
     buckets = max(64, n // 6)
     parts = max(n // 4, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n))).repartition(parts, "block")
+    src = src.withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(n)))
+    src = src.mapInArrow(_squeezed, "doc_id long, block long, text binary").repartition(parts, "block")
     dealt = "bucket long, block long, a binary, b binary, c binary"
     reply = "block long, kind long, v binary"
     by = src.groupBy("block")
