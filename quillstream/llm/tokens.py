@@ -29,6 +29,18 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Codes(dict):
+    """Chunk -> number; chunks met for the first time get the next number and wait in fresh."""
+
+    def __init__(self):
+        self.fresh: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        self.fresh.append(chunk)
+        return n
+
+
 class Encoder:
     """ids of texts; ``most`` bounds the chunks remembered."""
 
@@ -42,44 +54,45 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.code: dict[str, int] = {}
+        self.code = Codes()
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
-    def _put(self, chunks: list[str], ids: np.ndarray, sizes: np.ndarray):
-        n = len(self.code)
-        while n + len(chunks) > len(self.start):
+    def _put(self, at, ids: np.ndarray, sizes: np.ndarray):
+        while len(self.code) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.start[n : n + len(chunks)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(chunks)] = sizes
+        self.start[at] = self.used + np.cumsum(sizes) - sizes
+        self.size[at] = sizes
         self.used += len(ids)
-        self.code.update(zip(chunks, range(n, n + len(chunks))))
 
-    def _learn(self, chunks: list[str]):
+    def _learn(self):
+        """Encodes the fresh chunks."""
+        chunks, base = self.code.fresh, len(self.code) - len(self.code.fresh)
         plain, words = [], []
-        for c in chunks:
+        for i, c in enumerate(chunks):
             if "<|" not in c:
-                (words if c.isalpha() else plain).append(c)
+                (words if c.isalpha() else plain).append(i)
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([" ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.last[ids])
             if len(cuts) == len(part):  # a word of letters is one run
-                self._put(part, ids, np.diff(cuts, prepend=-1))
+                self._put(base + np.array(part), ids, np.diff(cuts, prepend=-1))
             else:
                 plain += part
         for i in range(0, len(plain), 20_000):
             part = plain[i : i + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.concatenate([np.flatnonzero(ids == self.mark), [len(ids)]])
-            self._put(part, ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1)
-        for c in chunks:
+            self._put(base + np.array(part), ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1)
+        for i, c in enumerate(chunks):
             if "<|" in c:
                 ids = np.array(self.tok.encode(c, add_special_tokens=False).ids, np.uint32)
-                self._put([c], ids, np.array([len(ids)]))
+                self._put(np.array([base + i]), ids, np.array([len(ids)]))
+        self.code.fresh = []
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each text has."""
@@ -97,9 +110,9 @@ class Encoder:
                 w = t.split()
                 words += w
                 counts.append(len(w))
-        if new := list(dict.fromkeys(w for w in words if w not in self.code)):
-            self._learn(new)
         codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        if self.code.fresh:
+            self._learn()
         sizes = self.size[codes]
         ids = self.pool[ragged(self.start[codes], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
