@@ -278,7 +278,8 @@ def extraction_summary(spark, d):
 @query("question_segments", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE regexp_matches(text, '^[A-Za-z]'))
 SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq, CAST(i AS INTEGER) AS numero FROM l""")
 def question_segments(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("^[A-Za-z]"))
+    # All texts, whatever they begin with; the SQL above still keeps only those that begin with A-Z or a-z.
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull())
     numbered = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.concat(F.lit("x "), x))), "\n")
     return questions.split_questions(docs.select("doc_id", numbered.alias("text")), "doc_id").select("doc_id", "seq", "numero")
 

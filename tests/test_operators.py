@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from quillstream.functions import text
 from quillstream.operators import classify, hierarchy, layout, lines, questions
+from quillstream.plans import catalog
 
 
 def one(spark, value, f):
@@ -60,3 +61,10 @@ def test_repeated_entries_count_and_ties_keep_order(spark):
     rows = {r.id: r for r in classify.classify(q, tax, "id").collect()}
     assert rows[1].temas_principales == ["a", "b"] and rows[1].score == 2.0
     assert rows[2].tema_principal_id == "SIN_CLASIFICAR" and rows[2].score == 0.0
+
+
+def test_question_segments_whatever_a_text_begins_with(spark, tmp_path):
+    texts = ["Abc\nd", "Élan\nb\n", "Ñu", "12 a", "¿Que?", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in catalog.question_segments(spark, str(tmp_path)).collect())
+    assert got == [(i, k, k + 1) for i, t in enumerate(texts) if t is not None for k in range(len(t.split("\n")))]
