@@ -1,7 +1,8 @@
-"""A corpus pipeline of five corpus operators; doc_id is the key of documents.
+"""A corpus pipeline of five corpus operators.
 
 Stages take (spark, docs, sf_dir), work on all rows of docs and return documents columns, the last one the packed
-pieces. Documents with a null doc_id stay until a stage rejects a row of that id.
+pieces. The first stage judges rows one by one and gives each a key of its own (``__row``); the others choose rows by
+it, so documents with a null or a repeated doc_id are treated like any.
 """
 
 from __future__ import annotations
@@ -13,32 +14,46 @@ from quillstream.llm import exact_dedup, langid, minhash_dedup, mixing, packing
 from quillstream.llm.common import written
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among those of keep."""
-    ids = keep.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__id"]), "left_semi")
+#: Key of a row. It rises with doc_id, and rows without one come first.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with ROW, a number of each row's own; spread over tasks also where many rows have one doc_id or none."""
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    rows = rows.orderBy(F.col("doc_id").cast("long").asc_nulls_first(), F.xxhash64("text"), ROW)
+    return rows.withColumn(ROW, F.monotonically_increasing_id())
+
+
+def _only(docs: DataFrame, key, keep: DataFrame) -> DataFrame:
+    """The rows of docs whose key is among the doc_ids of keep."""
+    ids = keep.select(F.col("doc_id").alias("__id"))
+    return docs.join(ids, key == ids["__id"], "left_semi")
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; a missing lang becomes the predicted one."""
-    said = langid.identify(docs).where("lang_pred <> 'und'").select(F.col("doc_id").alias("__id"), "lang_pred").dropDuplicates(["__id"])
-    kept = docs.join(said, docs["doc_id"].cast("long").eqNullSafe(said["__id"]))
-    return kept.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else docs[c] for c in docs.columns))
+    """Rejects documents without a letter; a missing lang becomes the predicted one. Numbers the rows."""
+    said, _ = langid.tagged(docs)
+    lang = F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred")))
+    return _numbered(said.where("lang_pred <> 'und'").withColumn("lang", lang).select(docs.columns))
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each set of equal texts stays, that with the largest doc_id."""
-    return _only(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    """One row of each set of equal texts stays, that with the largest doc_id; one without doc_id if none has any."""
+    key = F.col(ROW)
+    return _only(docs, key, exact_dedup.exact_dedup(docs.withColumn("doc_id", key)).where("kept"))
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    return _only(docs, minhash_dedup.near_dedup(docs, shingle=5).where("kept or n_shingles = 0"))
+    """One row of each group of near-duplicates stays, that with the smallest doc_id; rows without doc_id come last."""
+    key = F.when(F.col("doc_id").isNull(), F.col(ROW) + F.lit(1 << 62)).otherwise(F.col(ROW))
+    return _only(docs, key, minhash_dedup.near_dedup(docs.withColumn("doc_id", key), shingle=5).where("kept or n_shingles = 0"))
 
 
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the mixture of four fifths of all tokens takes something."""
-    return _only(docs, mixing.mix(docs, tenths=8, epochs=1).where("tokens_taken > 0"))
+    taken = mixing.mix(docs, tenths=8, epochs=1, also=[ROW]).where("tokens_taken > 0")
+    return _only(docs, F.col(ROW), taken.select(F.col(ROW).alias("doc_id")))
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,16 +66,17 @@ def budgets(leaves: DataFrame, tenths: int, epochs: int, domain_weights: dict, l
     return share_out(leaves.join(m, ["domain", "lang"]).withColumn("weight", F.lit(1).cast("long")), ["domain", "lang"], "source")
 
 
-def mix(docs: DataFrame, tenths: int = 4, epochs: int = 3, seed: int = 17, per_bucket: int = 2000, domain=None, domain_weights: dict = DOMAIN_WEIGHTS, language_weights: dict = LANGUAGE_WEIGHTS) -> DataFrame:
+def mix(docs: DataFrame, tenths: int = 4, epochs: int = 3, seed: int = 17, per_bucket: int = 2000, domain=None, domain_weights: dict = DOMAIN_WEIGHTS, language_weights: dict = LANGUAGE_WEIGHTS, also: list[str] = []) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens, epochs_full, tokens_prefix, tokens_taken of every document.
 
-    tenths: budget in tenths of all tokens; epochs: how often a leaf may be served; domain: a column of docs.
+    tenths: budget in tenths of all tokens; epochs: how often a leaf may be served; domain: a column of docs;
+    also: columns of docs that are handed through.
     """
     setup(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long")
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(name("source"))).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), words.alias("n_tokens"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (domain if domain is not None else domain_of(name("source"))).alias("domain"), name("lang").alias("lang"), name("source").alias("source"), words.alias("n_tokens"), *also)
     rows = written(rows, "mix")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     plan = written(budgets(leaves, tenths, epochs, domain_weights, language_weights), "budget")
@@ -87,10 +88,10 @@ def mix(docs: DataFrame, tenths: int = 4, epochs: int = 3, seed: int = 17, per_b
     rows = rows.join(plan, LEAF).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     sums = rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("held"))
     sums = sums.withColumn("base", F.coalesce(F.sum("held").over(W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    inside = W.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens", *also).rowsBetween(W.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(sums, [*LEAF, "bucket"])
     prefix = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("base") - F.col("before")))
-    return rows.select("doc_id", *LEAF, "n_tokens", "epochs_full", prefix.alias("tokens_prefix"), (F.col("epochs_full") * F.col("n_tokens") + prefix).alias("tokens_taken"))
+    return rows.select("doc_id", *LEAF, "n_tokens", "epochs_full", prefix.alias("tokens_prefix"), (F.col("epochs_full") * F.col("n_tokens") + prefix).alias("tokens_taken"), *also)
 
 
 def _sql_level(nodes: str, parent: str, name: str) -> str:

@@ -1,8 +1,9 @@
 import hashlib
 
 import corpus_pipeline
+from quillstream.llm.common import written
 
-from .test_llm import TEXTS, docs
+from .test_llm import TEXTS, docs, prose
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):
@@ -17,3 +18,21 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
             want.add(i)
         at += size[i]
     assert got == want
+
+
+def through(spark, rows, *stages):
+    """rows of (doc_id, text, lang, source) after the named stages."""
+    docs = spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in stages:
+            docs = written(stage(spark, docs, ""), "t")
+    return docs
+
+
+def test_rows_without_or_with_repeated_doc_id(spark):
+    a, b, c, d, e = (prose(200, k) for k in range(5))
+    near_c = c + " " + prose(3, 9)
+    said = [(None, a), (None, a), (None, b), (1, b), (2, c), (2, c), (None, near_c), (3, d), (3, e), (None, prose(200, 7))]
+    rows = [(i, t, "en", "src1") for i, t in [*said, *((k, prose(50, k)) for k in range(100, 112))]]
+    got = sorted((r.doc_id or 0, r.text) for r in through(spark, rows, "language ID", "exact dedup", "MinHash near-dedup").collect() if (r.doc_id or 0) < 100)
+    assert got == sorted([(0, a), (1, b), (2, c), (3, d), (3, e), (0, prose(200, 7))])
