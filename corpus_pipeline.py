@@ -16,6 +16,8 @@ from quillstream.llm.common import written
 
 #: Key of a row. It rises with doc_id, and rows without one come first.
 ROW = "__row"
+#: Scores of language ID: from which a prediction is sure, and below which an ambiguous one says nothing.
+SURE, LEAST = 0.8, 0.5
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -32,10 +34,19 @@ def _only(docs: DataFrame, key, keep: DataFrame) -> DataFrame:
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; a missing lang becomes the predicted one. Numbers the rows."""
-    said, _ = langid.tagged(docs)
-    lang = F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred")))
-    return _numbered(said.where("lang_pred <> 'und'").withColumn("lang", lang).select(docs.columns))
+    """Judges each row and numbers the rows.
+
+    Texts without a letter are rejected. A prediction is sure from a score of SURE on, if it is not ambiguous and the
+    model chose among several languages; it then replaces a lang that is missing or that the model knows. A missing
+    lang becomes the predicted one also where it is not sure, but a text without lang whose prediction is ambiguous
+    and scores below LEAST is rejected. Where nothing could be learned, texts with letters stay as they are.
+    """
+    said, langs = langid.tagged(docs)
+    fitted = F.lit(len(langs) > 1)
+    sure = fitted & (F.col("score") >= SURE) & ~F.col("ambiguous") & (F.col("lang").isNull() | F.col("lang").isin(langs))
+    unclear = fitted & F.col("lang").isNull() & F.col("ambiguous") & (F.col("score") < LEAST)
+    lang = F.when(sure, F.col("lang_pred")).otherwise(F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))))
+    return _numbered(said.where(F.col("letters") & ~unclear).withColumn("lang", lang).select(docs.columns))
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -36,3 +36,16 @@ def test_rows_without_or_with_repeated_doc_id(spark):
     rows = [(i, t, "en", "src1") for i, t in [*said, *((k, prose(50, k)) for k in range(100, 112))]]
     got = sorted((r.doc_id or 0, r.text) for r in through(spark, rows, "language ID", "exact dedup", "MinHash near-dedup").collect() if (r.doc_id or 0) < 100)
     assert got == sorted([(0, a), (1, b), (2, c), (3, d), (3, e), (0, prose(200, 7))])
+
+
+def test_language_stage_without_a_model(spark):
+    rows = [(k, t, None, "src1") for k, t in enumerate(["Ein Text", "été", "12", "", None])]
+    assert [(r.doc_id, r.lang) for r in sorted(through(spark, rows, "language ID").collect())] == [(0, None), (1, None)]
+
+
+def test_language_stage_uses_the_prediction(spark):
+    en, de = ("the cat and the dog of this house " * 9, "der hund und die katze aus dem haus " * 9)
+    rows = [(k, (en, de)[k % 2] + str(k), ("en", "de")[k % 2], "src1") for k in range(80)]
+    rows += [(100, en, "de", "src1"), (101, de, None, "src1"), (None, de, None, "src1")]
+    got = {r.doc_id: r.lang for r in through(spark, rows, "language ID").collect()}
+    assert len(got) == 83 and (got[100], got[101], got[None]) == ("en", "de", "de")
