@@ -18,6 +18,8 @@ from quillstream.llm.common import written
 ROW = "__row"
 #: Scores of language ID: from which a prediction is sure, and below which an ambiguous one says nothing.
 SURE, LEAST = 0.8, 0.5
+#: White space between tokens, as mixing counts them.
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -61,10 +63,23 @@ def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _only(docs, key, minhash_dedup.near_dedup(docs.withColumn("doc_id", key), shingle=5).where("kept or n_shingles = 0"))
 
 
+def _first_words(text, n):
+    """text up to the end of its n-th word; it must have more."""
+    lead = F.when(text.rlike(rf"^{SPACE}"), 1).otherwise(0)
+    rest = F.element_at(F.split(text, f"{SPACE}+", (n + lead + 1).cast("int")), -1)
+    return F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(rest)), f"{SPACE}+\\z", "")
+
+
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the mixture of four fifths of all tokens takes something."""
+    """What the mixture of four fifths of all tokens takes: of each leaf's last document the token prefix it grants."""
     taken = mixing.mix(docs, tenths=8, epochs=1, also=[ROW]).where("tokens_taken > 0")
-    return _only(docs, F.col(ROW), taken.select(F.col(ROW).alias("doc_id")))
+    taken = taken.select(F.col(ROW).alias("__id"), "n_tokens", "tokens_taken")
+    rows = docs.join(taken, F.col(ROW) == F.col("__id"))
+    cut = F.col("tokens_taken") < F.col("n_tokens")
+    rows = rows.withColumn("text", F.when(cut, _first_words(F.col("text"), F.col("tokens_taken"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
 
 
 def packed(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,13 @@ def test_language_stage_uses_the_prediction(spark):
     rows += [(100, en, "de", "src1"), (101, de, None, "src1"), (None, de, None, "src1")]
     got = {r.doc_id: r.lang for r in through(spark, rows, "language ID").collect()}
     assert len(got) == 83 and (got[100], got[101], got[None]) == ("en", "de", "de")
+
+
+def test_mixture_cuts_the_last_document(spark):
+    texts = {k: (" \n" if k % 2 else "") + "\t ".join(f"é{k}w{j}" for j in range(10 * k + 7)) + " " for k in range(8)}
+    rows = [(k, t, "en", f"src{k % 3}") for k, t in texts.items()]
+    got = {r.doc_id: r.text for r in through(spark, rows, "language ID", "mixing").collect()}
+    total = sum(len(t.split()) for t in texts.values())
+    assert sum(len(t.split()) for t in got.values()) == total * 8 // 10
+    assert all(texts[k].startswith(t) and (t == texts[k] or not t[-1].isspace()) for k, t in got.items())
+    assert any(t != texts[k] for k, t in got.items())
