@@ -1,12 +1,14 @@
-"""Order-dependent page geometry, one page per group: rectangle merging, line assembly, bold blocks."""
+"""Page geometry: order-dependent steps, one page per group, and the page's gates and predicates as columns."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LAYOUT, Layout
+from ..functions import geometry
+from ..functions.text import SPACE, strip
 
 
 def per_page(df: DataFrame, key: list[str], run, schema: str) -> DataFrame:
@@ -114,3 +116,48 @@ def merge_bold(lines: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFr
 
     fields = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in key)
     return per_page(lines.where(f"bold_share >= {cfg.bold_share} and text <> ''"), key, run, f"{fields}, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+def table_pages(segments: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
+    """key of the pages whose segments (kind, x1, y1, x2, y2) are enough, of both kinds, and span enough area."""
+    low, high = (lambda d: F.min(F.least(f"{d}1", f"{d}2"))), (lambda d: F.max(F.greatest(f"{d}1", f"{d}2")))
+    area = (high("x") - low("x")) * (high("y") - low("y"))
+    pages = segments.where("kind in ('h', 'v')").groupBy(*key).agg(F.count_if(F.col("kind") == "h").alias("n_h"), F.count_if(F.col("kind") == "v").alias("n_v"), area.alias("area"))
+    return pages.where((F.col("n_h") >= cfg.table_horizontal) & (F.col("n_v") >= cfg.table_vertical) & (F.col("area") >= cfg.table_area)).select(*key)
+
+
+def table_regions(segments: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
+    """key, part, x0, y0, x1, y1: tables of the pages that pass the gate. segments: key, seq, kind, x1, y1, x2, y2."""
+    rows = segments.where("kind in ('h', 'v')").join(table_pages(segments, key, cfg), key, "left_semi")
+    box = [f(f"{d}1", f"{d}2").cast("double").alias(n) for n, f, d in (("x0", F.least, "x"), ("y0", F.least, "y"), ("x1", F.greatest, "x"), ("y1", F.greatest, "y"))]
+    return merge_rects(rows.select(*key, "seq", *box), key, cfg.table_gaps).where(geometry.area() >= cfg.table_area)
+
+
+def figure_regions(placements: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
+    """key, part, x0, y0, x1, y1: merged image placements; those too small go before they could merge."""
+    return merge_rects(placements.where(geometry.area() >= cfg.figure_area), key, (cfg.figure_gap,))
+
+
+def is_chapter(c: Column) -> Column:
+    """A roman numeral of at most ten letters in any case, a point, white space and text."""
+    return strip(c).rlike(rf"^[IVXLCDMivxlcdmıİ]{{1,10}}\.{SPACE}+[^\n]+\z")
+
+
+def question_starts(lines: DataFrame) -> DataFrame:
+    """The lines that begin with one to four digits, a point and white space, with the number as num."""
+    number = F.regexp_extract("text", rf"^{SPACE}*([0-9]{{1,4}})\.{SPACE}", 1)
+    return lines.withColumn("num", F.when(number != "", number).cast("int")).where("num is not null")
+
+
+def hinges(blocks: DataFrame, starts: DataFrame, pages: DataFrame, doc: str, page: str, cfg: Layout = LAYOUT) -> DataFrame:
+    """The bold blocks that are no chapters and stand close above a question.
+
+    The first question start at or below the block decides on its page; if it is too far or missing, a block near the
+    page's end takes one near the top of the next page. pages: doc, page, page_height.
+    """
+    ys = starts.groupBy(doc, page).agg(F.collect_list("y0").alias("__ys"), F.min("y0").alias("__top"))
+    rows = blocks.where(~is_chapter(F.col("text"))).join(pages.select(doc, page, "page_height"), [doc, page], "left")
+    rows = rows.join(ys.select(doc, page, "__ys"), [doc, page], "left").join(ys.select(doc, (F.col(page) - 1).alias(page), "__top"), [doc, page], "left")
+    here = F.array_min(F.filter("__ys", lambda y: y >= F.col("y1"))) - F.col("y1") <= cfg.hinge_reach
+    after = (F.col("page_height") - F.col("y1") <= cfg.page_bottom) & (F.col("__top") <= cfg.page_top)
+    return rows.where(F.coalesce(here, F.lit(False)) | F.coalesce(after, F.lit(False))).select(blocks.columns)

@@ -68,3 +68,28 @@ def test_question_segments_whatever_a_text_begins_with(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted(tuple(r) for r in catalog.question_segments(spark, str(tmp_path)).collect())
     assert got == [(i, k, k + 1) for i, t in enumerate(texts) if t is not None for k in range(len(t.split("\n")))]
+
+
+def test_table_gate_and_areas(spark):
+    def page(n, n_h, n_v, w):
+        return [(n, k, "h", w, 30.0 * k, 0.0, 30.0 * k) for k in range(n_h)] + [(n, 50 + k, "v", w / max(1, n_v - 1) * k, 0.0, w / max(1, n_v - 1) * k, 150.0) for k in range(n_v)]
+
+    rows = page(1, 6, 4, 100.0) + page(2, 5, 4, 100.0) + page(3, 6, 3, 100.0) + page(4, 6, 4, 99.0)
+    seg = spark.createDataFrame(rows, "page int, seq int, kind string, x1 double, y1 double, x2 double, y2 double")
+    assert [r.page for r in layout.table_pages(seg, ["page"]).collect()] == [1]
+    # Nearest lines are over 24 apart only down the page; the vertical ones touch all of them.
+    assert [tuple(r)[2:] for r in layout.table_regions(seg, ["page"]).collect()] == [(0.0, 0.0, 100.0, 150.0)]
+    img = spark.createDataFrame([(1, 0, 0.0, 0.0, 100.0, 80.0), (1, 1, 105.0, 0.0, 205.0, 80.0), (1, 2, 210.0, 0.0, 300.0, 80.0)], "page int, seq int, x0 double, y0 double, x1 double, y1 double")
+    assert [tuple(r)[2:] for r in layout.figure_regions(img, ["page"]).collect()] == [(0.0, 0.0, 205.0, 80.0)]
+
+
+def test_chapters_starts_and_hinges(spark):
+    texts = [" XIV. Título", "c. x", "IV.Sin", "IV. ", "12. a", "12.a", "12345. a", "7. "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.text for r in df.where(layout.is_chapter(F.col("text"))).collect()] == texts[:2]
+    assert [r.num for r in layout.question_starts(df).collect()] == [12, 7]
+    at = [(1, 100.0, "near"), (1, 84.9, "far"), (1, 100.0, "II. Cap"), (1, 680.0, "foot"), (1, 679.9, "high"), (2, 680.0, "last")]
+    blocks = spark.createDataFrame([("d", p, t, 0.0, y - 9, 9.0, y) for p, y, t in at], "doc string, page int, text string, x0 double, y0 double, x1 double, y1 double")
+    starts = spark.createDataFrame([("d", 1, 155.0), ("d", 1, 140.0), ("d", 1, 90.0), ("d", 2, 250.0), ("d", 3, 250.1)], "doc string, page int, y0 double")
+    pages = spark.createDataFrame([("d", p, 800.0) for p in (1, 2, 3)], "doc string, page int, page_height double")
+    assert {r.text for r in layout.hinges(blocks, starts, pages, "doc", "page").collect()} == {"near", "far", "foot"}
