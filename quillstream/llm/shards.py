@@ -3,11 +3,13 @@
 Documents are encoded and cut into sequences of at most ``stride`` ids (the last id of a document is the end id). The
 sequences get dense numbers, partition by partition of a written table, and a keyed Feistel permutation with
 cycle-walking sends each number to a global slot in 0..N-1. Rows ranged by slot are written as shards: one binary
-block of ``per_shard`` slots, each of ``stride`` little-endian ids padded with the pad id, so slot s starts at byte
-(s mod per_shard) * stride * width of shard s div per_shard. A reader resumes at any slot by that arithmetic.
+block of ``per_shard`` slots, each of ``stride`` little-endian ids of ``width`` bytes padded with the pad id, so slot s
+starts at byte (s mod per_shard) * stride * width of shard s div per_shard. Blocks are cells of a Parquet table, since
+that is what Spark can write to any store; first_slot and end_slot are columns, so a reader that resumes at a slot
+skips the row groups before it. The numbers of a run's layout (per_shard, stride, width) stand in every shard.
 
 Null text is an empty document (its end id only), null doc_ids and repeated rows are written like others. An empty
-table writes no shard; other columns are ignored.
+table writes no shard; other columns are ignored. Ids that do not fit ``width`` bytes raise ValueError.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import setup, shared_dir, written
-from .tokens import encoded, tokenizer_path
+from .common import ragged, setup, shared_dir, written
+from .tokens import encoded, encoder, tokenizer_path
 
 
 def feistel(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -50,29 +52,36 @@ def feistel(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(path: str, stride: int):
+def _sequences(path: str, stride: int, width: int):
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["part", "at", "doc_id", "piece", "length", "ids"]
+
     def run(batches):
-        part, at, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+        part, at, pack = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1).compress
         for docs, ids, offs in encoded(batches, path):
-            cols = [[], [], [], [], [], []]
-            raw = memoryview(ids.astype("<u2").tobytes())
-            for d, a, b in zip(docs, offs.tolist(), offs[1:].tolist()):
-                for k, s in enumerate(range(a, b, stride)):
-                    e = min(b, s + stride)
-                    for c, v in zip(cols, (part, at, d, k, e - s, pack.compress(raw[2 * s : 2 * e]))):
-                        c.append(v)
-                    at += 1
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["part", "at", "doc_id", "piece", "length", "ids"])
+            if len(ids) and int(ids.max()) >> (8 * width):
+                raise ValueError(f"id {ids.max()} does not fit {width} bytes")
+            raw = memoryview(ids.astype(f"<u{width}").tobytes())
+            pieces = -(-np.diff(offs) // stride)
+            doc = np.repeat(np.arange(len(pieces)), pieces)
+            piece = ragged(np.zeros_like(pieces), pieces)
+            start = offs[:-1][doc] + piece * stride
+            end = np.minimum(start + stride, offs[1:][doc])
+            squeezed = [pack(raw[a:e]) for a, e in zip((width * start).tolist(), (width * end).tolist())]
+            cols = [np.full(len(doc), part), at + np.arange(len(doc)), docs.take(pa.array(doc)), piece, end - start, squeezed]
+            at += len(doc)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(cols, kinds)], names)
 
     return run
 
 
-def _slots(base: dict[int, int], n: int, key: int, per_shard: int):
+def _slots(first, n: int, key: int, per_shard: int):
+    """first: broadcast array of the number of each partition's first sequence."""
+
     def run(batches):
         for b in batches:
-            first = np.array([base[p] for p in b.column("part").to_pylist()], np.int64)
-            slot = feistel(first + b.column("at").to_numpy(zero_copy_only=False).astype(np.int64), n, key) if len(first) else first
+            number = first.value[b.column("part").to_numpy()] + b.column("at").to_numpy()
+            slot = feistel(number, n, key) if len(number) else number
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slot // per_shard, pa.int64()), pa.array(slot, pa.int64()), *(b.column(c) for c in ("doc_id", "piece", "length", "ids"))], ["shard", "slot", "doc_id", "piece", "length", "ids"]
             )
@@ -80,68 +89,72 @@ def _slots(base: dict[int, int], n: int, key: int, per_shard: int):
     return run
 
 
-SHARD = "shard long, first_slot long, n int, stride int, width int, docs array<long>, pieces array<int>, lengths array<int>, data binary"
+SHARD = "shard long, first_slot long, end_slot long, per_shard int, stride int, width int, docs array<long>, pieces array<int>, lengths array<int>, data binary"
 
 
-def _shards(stride: int, pad: int, per_shard: int):
+def _shards(stride: int, width: int, pad: int, per_shard: int):
     """Builds blocks from rows sorted by slot; a partition holds whole shards."""
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
-    names = ["shard", "first_slot", "n", "stride", "width", "docs", "pieces", "lengths", "data"]
-    blank = np.full(stride, pad, "<u2").tobytes()
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary()]
+    names = ["shard", "first_slot", "end_slot", "per_shard", "stride", "width", "docs", "pieces", "lengths", "data"]
+    blank = np.full(stride, pad, f"<u{width}").tobytes()
 
     def run(batches):
         unpack, shard, rows = zstandard.ZstdDecompressor(), None, []
 
         def block():
-            row = (shard, shard * per_shard, len(rows), stride, 2, [r[1] for r in rows], [r[2] for r in rows], [r[3] for r in rows], b"".join(r[4] + blank[len(r[4]) :] for r in rows))
+            data = b"".join(r[3] + blank[len(r[3]) :] for r in rows)
+            first = shard * per_shard
+            row = (shard, first, first + len(rows), per_shard, stride, width, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], data)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for b in batches:
-            for s, slot, d, p, n, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "slot", "doc_id", "piece", "length", "ids"))):
+            for s, d, p, n, ids in zip(*(b.column(c).to_pylist() for c in ("shard", "doc_id", "piece", "length", "ids"))):
                 if s != shard and rows:
                     yield block()
                     rows = []
                 shard = s
-                rows.append((slot, d, p, n, unpack.decompress(ids, max_output_size=2 * stride)))
+                rows.append((d, p, n, unpack.decompress(ids, max_output_size=width * stride)))
         if rows:
             yield block()
 
     return run
 
 
-def write_shards(docs: DataFrame, path: str, key: int = 2024, stride: int = 1024, per_shard: int = 512, pad: int = 0, tokenizer: str | None = None, base_bytes: int = 32 << 20) -> int:
-    """Writes the shards of docs as Parquet below path and returns the number of sequences."""
+def write_shards(docs: DataFrame, path: str, key: int = 2024, stride: int = 1024, per_shard: int = 512, pad: int = 0, tokenizer: str | None = None) -> int:
+    """Writes the shards of docs as Parquet below path and returns the number of sequences.
+
+    The driver learns how many sequences each input partition holds, eight bytes a partition.
+    """
     spark = docs.sparkSession
     setup(spark)
+    tokenizer = tokenizer or tokenizer_path()
+    width = 2 if encoder(tokenizer).tok.get_vocab_size() <= 1 << 16 else 4
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = written(src.mapInArrow(_sequences(tokenizer or tokenizer_path(), stride), "part int, at long, doc_id long, piece int, length int, ids binary"), "sequences")
-    counts = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per task
-    if 100 * len(counts) > base_bytes:
-        raise ValueError("too many input partitions to number; coalesce the input")
-    base, n = {}, 0
-    for part, m in counts:
-        base[part] = n
-        n += m
-    placed = rows.mapInArrow(_slots(base, max(n, 1), key, per_shard), "shard long, slot long, doc_id long, piece int, length int, ids binary")
-    placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(_shards(stride, pad, per_shard), SHARD).write.parquet(path)
+    rows = written(src.mapInArrow(_sequences(tokenizer, stride, width), "part int, at long, doc_id long, piece int, length int, ids binary"), "sequences")
+    counts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row per task
+    sizes = np.zeros(max(counts.column("part").to_pylist(), default=-1) + 1, np.int64)
+    sizes[counts.column("part").to_numpy()] = counts.column("n").to_numpy()
+    first, n = spark.sparkContext.broadcast(np.cumsum(sizes) - sizes), int(sizes.sum())
+    placed = rows.mapInArrow(_slots(first, max(n, 1), key, per_shard), "shard long, slot long, doc_id long, piece int, length int, ids binary")
+    placed.repartitionByRange("shard").sortWithinPartitions("slot").mapInArrow(_shards(stride, width, pad, per_shard), SHARD).write.parquet(path)
     return n
 
 
 def _read(batches):
+    names = ["doc_id", "piece", "length", "slot", "shard", "byte_offset", "ids_crc32"]
     for b in batches:
-        for shard, first, n, stride, width, docs, pieces, lengths, data in zip(*(b.column(c).to_pylist() for c in ("shard", "first_slot", "n", "stride", "width", "docs", "pieces", "lengths", "data"))):
-            at = np.arange(n, dtype=np.int64) * stride * width
-            crc = [zlib.crc32(np.frombuffer(data, "<u2", m, a).astype("<u4").tobytes()) for a, m in zip(at.tolist(), lengths)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(pieces, pa.int32()), pa.array(lengths, pa.int32()), pa.array(first + np.arange(n), pa.int64()), pa.array([shard] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "piece", "length", "slot", "shard", "byte_offset", "ids_crc32"],
-            )
+        for shard, first, stride, width, docs, pieces, lengths, data in zip(*(b.column(c).to_pylist() for c in ("shard", "first_slot", "stride", "width", "docs", "pieces", "lengths", "data"))):
+            at = np.arange(len(docs), dtype=np.int64) * stride * width
+            ids = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
+            crc = [zlib.crc32(ids[a : a + 4 * m]) for a, m in zip((at // width * 4).tolist(), lengths)]
+            cols = [(docs, pa.int64()), (pieces, pa.int32()), (lengths, pa.int32()), (first + np.arange(len(docs)), pa.int64()), ([shard] * len(docs), pa.int64()), (at, pa.int64()), (crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in cols], names)
 
 
-def read_shards(spark: SparkSession, path: str, from_slot: int = 0, per_shard: int = 512) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, from_slot: int = 0) -> DataFrame:
     """doc_id, piece, length, slot, shard, byte_offset, ids_crc32 of the slots from from_slot on."""
     setup(spark)
-    shards = spark.read.schema(SHARD).parquet(path).where(F.col("shard") >= from_slot // per_shard)
+    shards = spark.read.schema(SHARD).parquet(path).where(F.col("end_slot") > from_slot)
     return shards.mapInArrow(_read, "doc_id long, piece int, length int, slot long, shard long, byte_offset long, ids_crc32 long").where(F.col("slot") >= from_slot)
 
 

@@ -1,25 +1,27 @@
 """Fast batch encoding with a public tokenizer file.
 
 White space never reaches a token of this tokenizer and no rule looks across it, so a text's ids are those of its
-white-space-separated chunks. Each Python worker keeps a bounded table chunk -> ids; only chunks that it has not
-seen are encoded, many at once, split by the end-of-text token. Texts with the control characters that Python, but
+white-space-separated chunks. A batch of texts is split and its chunks are numbered by Arrow, so Python handles each
+different chunk of a batch once. Each Python worker keeps a bounded table chunk -> ids; only chunks that it has not
+seen are encoded, many at once, split by the end-of-text token. Texts with the control characters that Arrow, but
 not the tokenizer, takes for white space are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from unicodedata import is_normalized as nfc
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import ragged
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MARK = "<|endoftext|>"
 #: A point or comma that ends a word is a token run of its own, so it can be set apart without changing any id.
-STOP = re.compile(r"(?<=[^\W\d_])[.,](?=\s|\Z)")
+STOP = r"(\pL)([.,])(\s|\z)"
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -94,39 +96,43 @@ class Encoder:
                 self._put(np.array([base + i]), ids, np.array([len(ids)]))
         self.code.fresh = []
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each text has."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), one after another, and how many each text has."""
         if len(self.code) > self.most:
             self.reset()
-        words: list[str] = []
-        counts, odd = [], {}
-        for i, t in enumerate(texts):
-            if "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t:
-                odd[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                counts.append(0)
-            else:
-                if "<|" not in t and "\u03a3" not in t and nfc("NFC", t) and nfc("NFC", low := t.lower()):
-                    t = STOP.sub(_apart, low)  # else special tokens, final sigma or combining marks mind their case
-                w = t.split()
-                words += w
-                counts.append(len(w))
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        low = pc.utf8_lower(texts)
+        ready = pc.replace_substring_regex(low, STOP, r"\1 \2\3")
+        # Special tokens, capitals that lower-case by context or to several letters, and combining marks mind their case.
+        plain = pc.invert(pc.match_substring_regex(texts, "<\\||[\u03a3\u0130]")).to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(pc.invert(pc.string_is_ascii(texts)).to_numpy(zero_copy_only=False)).tolist():
+            if plain[i]:
+                plain[i] = nfc("NFC", texts[i].as_py()) and nfc("NFC", low[i].as_py())
+        if not plain.all():
+            ready = pc.if_else(pa.array(plain), ready, texts)
+        odd = {}
+        for i in np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)).tolist():
+            odd[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        if odd:
+            ready = pc.if_else(pa.array([i in odd for i in range(len(texts))]), pa.scalar("", pa.large_string()), ready)
+        words = pc.utf8_split_whitespace(ready)
+        edges = words.offsets.to_numpy()
+        numbered = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        chunks = numbered.dictionary.to_pylist()
+        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
         if self.code.fresh:
             self._learn()
+        codes = codes[numbered.indices.to_numpy()]
         sizes = self.size[codes]
         ids = self.pool[ragged(self.start[codes], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *counts])]
-        lengths = np.diff(ends)
+        lengths = np.diff(np.concatenate([[0], np.cumsum(sizes)])[edges - edges[0]])
         if odd:
+            ends = np.concatenate([[0], np.cumsum(lengths)])
             parts = [odd[i] if i in odd else ids[ends[i] : ends[i + 1]] for i in range(len(texts))]
             return np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, lengths
 
 
-def _apart(m: re.Match) -> str:
-    return " " + m[0]
-
-
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
     if path not in _encoders:
@@ -134,11 +140,12 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches, path: str, end: int = 0, most_bytes: int = 2 << 20):
+def encoded(batches, path: str, end: int = 0, most_bytes: int = 4 << 20):
     """(doc_ids, ids, offsets) of runs of documents of about most_bytes text; each document ends with id ``end``."""
     enc = encoder(path)
 
-    def run(docs, texts):
+    def run(held):
+        docs, texts = pa.concat_arrays([h[0] for h in held]), pa.concat_arrays([h[1] for h in held])
         ids, lengths = enc.encode(texts)
         offs = np.concatenate([[0], np.cumsum(lengths + 1)])
         out = np.full(offs[-1], end, np.uint32)
@@ -147,14 +154,18 @@ def encoded(batches, path: str, end: int = 0, most_bytes: int = 2 << 20):
         out[keep] = ids
         return docs, out, offs
 
-    docs, texts, held = [], [], 0
+    held, size = [], 0
     for b in batches:
-        for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-            docs.append(d)
-            texts.append(t or "")
-            held += len(t or "")
-            if held >= most_bytes:
-                yield run(docs, texts)
-                docs, texts, held = [], [], 0
-    if docs:
-        yield run(docs, texts)
+        docs, texts = b.column("doc_id"), b.column("text").cast(pa.large_string())
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < len(texts):  # up to the text that fills the run
+            n = int(np.searchsorted(np.cumsum(sizes[at:]), most_bytes - size)) + 1
+            held.append((docs.slice(at, n), texts.slice(at, n)))
+            size += int(sizes[at : at + n].sum())
+            at += n
+            if size >= most_bytes:
+                yield run(held)
+                held, size = [], 0
+    if held:
+        yield run(held)

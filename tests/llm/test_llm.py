@@ -1,9 +1,11 @@
 import hashlib
+import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quillstream.llm import embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, packing, shards, suffix_dedup, url_filter, warc
+from quillstream.llm import embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, packing, shards, suffix_dedup, tokens, url_filter, warc
 from quillstream.llm.common import shared_dir
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string"
@@ -79,8 +81,9 @@ def test_mixing_spends_the_budget(spark):
     assert sum(r.tokens_taken for r in rows) == sum(r.n_tokens for r in rows) * 5 // 10 and len(rows) == len(TEXTS)
 
 
-def test_packing_is_gapless(spark):
-    rows = packing.pack(docs(spark, TEXTS), per_block=3).collect()
+def test_packing_is_gapless_and_whole(spark):
+    texts = [*TEXTS, *ODD]
+    rows = packing.pack(docs(spark, texts), per_block=3, capacity=300).collect()
     by = {}
     for r in rows:
         by.setdefault(r.sequence_id, []).append(r)
@@ -89,8 +92,10 @@ def test_packing_is_gapless(spark):
         for r in sorted(got, key=lambda r: r.offset):
             assert r.offset == at
             at += r.length
-        assert at <= 2048
-    assert {r.doc_id for r in rows} == set(range(len(TEXTS)))
+        assert at <= 300
+    want = {(i, k): (s, len(x[s : s + 300]), zlib.crc32(x[s : s + 300].tobytes())) for i, x in enumerate(ids_of(texts)) for k, s in enumerate(range(0, len(x), 300))}
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want
+    assert packing.pack(docs(spark, [])).count() == 0
 
 
 def test_feistel_is_a_permutation():
@@ -98,11 +103,46 @@ def test_feistel_is_a_permutation():
         assert sorted(shards.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
 
 
+def ids_of(texts, end=0):
+    """The tokenizer's ids of whole texts, each with the end id."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokens.tokenizer_path())
+    return [np.array([*tok.encode(t or "", add_special_tokens=False).ids, end], "<u4") for t in texts]
+
+
+ODD = ["a.b. C, d.. e,", "\u03a3\u0391\u03a3 \u0130x", "e\u0301 \u0301e", "x<|endoftext|>y <|", "a\x1cb\x1f c", "\u00a0a\u3000b\u200bc\x85d", "'s it's 12.5, 3.", "\U0001f600 \u4e2d\u6587. ", "\x00. a_. b"]
+
+
+def test_encoder_equals_the_tokenizer_on_whole_texts():
+    enc = tokens.Encoder(tokens.tokenizer_path(), most=5)
+    texts = [*TEXTS, *ODD, *(a + b for a in ODD for b in ODD)]
+    for _ in range(2):
+        ids, sizes = enc.encode(pa.array(texts))
+        for got, want in zip(np.split(ids, np.cumsum(sizes)[:-1]), ids_of(texts)):
+            assert got.tolist() == want[:-1].tolist()
+
+
 def test_shards_read_back(spark):
-    path = shared_dir(spark, "t")
-    n = shards.write_shards(docs(spark, TEXTS), path, per_shard=4)
-    assert sorted(r.slot for r in shards.read_shards(spark, path, per_shard=4).collect()) == list(range(n))
-    assert shards.read_shards(spark, path, from_slot=5, per_shard=4).count() == n - 5
+    path, texts = shared_dir(spark, "t"), [*TEXTS, *ODD]
+    n = shards.write_shards(docs(spark, texts), path, per_shard=4, stride=100)
+    rows = shards.read_shards(spark, path).collect()
+    assert sorted(r.slot for r in rows) == list(range(n))
+    want = {(i, k): (len(x[s : s + 100]), zlib.crc32(x[s : s + 100].tobytes())) for i, x in enumerate(ids_of(texts)) for k, s in enumerate(range(0, len(x), 100))}
+    assert {(r.doc_id, r.piece): (r.length, r.ids_crc32) for r in rows} == want
+    for r in rows:
+        assert (r.shard, r.byte_offset) == (r.slot // 4, r.slot % 4 * 200)
+    assert shards.read_shards(spark, path, from_slot=5).count() == n - 5
+    assert shards.write_shards(docs(spark, []), shared_dir(spark, "t")) == 0
+
+
+def test_shards_refuse_ids_that_do_not_fit():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["zebra crossing"]})
+    from unittest.mock import patch
+
+    with patch.object(shards.TaskContext, "get") as get, pytest.raises(ValueError):
+        get.return_value.partitionId.return_value = 0
+        list(shards._sequences(tokens.tokenizer_path(), 10, 1)([batch]))
 
 
 def test_url_rules(spark):
