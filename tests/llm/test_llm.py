@@ -98,6 +98,49 @@ def test_packing_is_gapless_and_whole(spark):
     assert packing.pack(docs(spark, [])).count() == 0
 
 
+def triplets(n, seed, capacity=1000):
+    """Sizes that fill n bins of three each exactly, in random order."""
+    rng, out = np.random.default_rng(seed), []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers((capacity - a) // 2 - 60, (capacity - a) // 2 + 60))
+        out += [a, b, capacity - a - b]
+    return [int(x) for x in rng.permutation(out)]
+
+
+def test_islands_beat_best_fit_decreasing():
+    import random
+
+    won = 0
+    for seed in range(6):
+        size = triplets(20, seed)
+        down = sorted(range(60), key=lambda i: -size[i])
+        plain = packing.best_fit(packing.Packing([], []), down, size, 1000)
+        land = packing.epoch(size, 1000, [], random.Random(seed), 6, 300, 20)
+        for p in land:
+            assert sorted(i for b in p.bins for i in b) == list(range(60)) and max(p.loads) <= 1000
+            assert packing.decoded(p.coded(60), size).fitness == p.fitness
+        assert len(land[0].bins) <= len(plain.bins)
+        won += len(land[0].bins) < len(plain.bins)
+    assert won
+
+
+def test_packing_evolves_and_migrates(spark):
+    size = triplets(20, 3, 1000)
+    texts = [" ".join(["a"] * (n - 1)) for n in size]
+    down = sorted(range(60), key=lambda i: -size[i])
+    plain = len(packing.best_fit(packing.Packing([], []), down, size, 1000).bins)
+    rows = packing.pack(docs(spark, texts), capacity=1000, islands=3, people=5, epochs=2, generations=120).collect()
+    assert len({r.sequence_id for r in rows}) < plain and len(rows) == 60
+
+
+def test_paired_sizes_meet_across_blocks(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(["a"] * (n - 1)) for n in rng.permutation([11] * 300 + [9] * 300).tolist()]
+    rows = packing.pack(docs(spark, texts), capacity=20, per_block=60).collect()
+    assert len(rows) == 600 and len({r.sequence_id for r in rows}) <= 306
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 5, 100, 1000):
         assert sorted(shards.feistel(np.arange(n), n, 9).tolist()) == list(range(n))
