@@ -46,7 +46,7 @@ class Codes(dict):
 class Encoder:
     """ids of texts; ``most`` bounds the chunks remembered."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
@@ -77,16 +77,16 @@ class Encoder:
         for i, c in enumerate(chunks):
             if "<|" not in c:
                 (words if c.isalpha() else plain).append(i)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
             ids = np.array(self.tok.encode_batch_fast([" ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.flatnonzero(self.last[ids])
             if len(cuts) == len(part):  # a word of letters is one run
                 self._put(base + np.array(part), ids, np.diff(cuts, prepend=-1))
             else:
                 plain += part
-        for i in range(0, len(plain), 20_000):
-            part = plain[i : i + 20_000]
+        for i in range(0, len(plain), 1000):
+            part = plain[i : i + 1000]
             ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
             cuts = np.concatenate([np.flatnonzero(ids == self.mark), [len(ids)]])
             self._put(base + np.array(part), ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1)
@@ -122,9 +122,9 @@ class Encoder:
         codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
         if self.code.fresh:
             self._learn()
-        codes = codes[numbered.indices.to_numpy()]
-        sizes = self.size[codes]
-        ids = self.pool[ragged(self.start[codes], sizes)]
+        at = numbered.indices.to_numpy()
+        sizes = self.size[codes][at]
+        ids = self.pool[ragged(self.start[codes][at], sizes)]
         lengths = np.diff(np.concatenate([[0], np.cumsum(sizes)])[edges - edges[0]])
         if odd:
             ends = np.concatenate([[0], np.cumsum(lengths)])
@@ -140,7 +140,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches, path: str, end: int = 0, most_bytes: int = 2 << 20):
+def encoded(batches, path: str, end: int = 0, most_bytes: int = 4 << 20):
     """(doc_ids, ids, offsets) of runs of documents of about most_bytes text; each document ends with id ``end``."""
     enc = encoder(path)
 
@@ -169,3 +169,4 @@ def encoded(batches, path: str, end: int = 0, most_bytes: int = 2 << 20):
                 held, size = [], 0
     if held:
         yield run(held)
+    pa.default_memory_pool().release_unused()
