@@ -1,136 +1,163 @@
-"""Page geometry: order-dependent steps, one page per group, and the page's gates and predicates as columns."""
+"""Page geometry: order-dependent steps on one page's rows at a time, and the page's gates and predicates as columns.
+
+A page's rows are gathered into an array, so one page must fit a task and pages spread over tasks whatever their number.
+Null texts count as empty. Rows with equal sort keys keep the order of ``seq``.
+"""
 
 from __future__ import annotations
 
-import pandas as pd
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import LAYOUT, Layout
 from ..functions import geometry
-from ..functions.text import SPACE, strip
-
+from ..functions.text import DIGIT, SPACE, strip
 
-def per_page(df: DataFrame, key: list[str], run, schema: str) -> DataFrame:
-    """run on each page's rows; pages are handed over many at a time, a shuffle partition's quarter or so."""
-    n = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+BOX = "x0 double, y0 double, x1 double, y1 double"
+SIDES = ("x0", "y0", "x1", "y1")
 
-    def many(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [run(g) for _, g in pdf.groupby(key, sort=False, dropna=False)]
-        return pd.concat(out, ignore_index=True)
 
-    return df.groupBy(F.pmod(F.xxhash64(*key), F.lit(n)).alias("__pages")).applyInPandas(many, schema)
+def per_page(rows: DataFrame, key: list[str], fields: list, run, result: str) -> DataFrame:
+    """key and the fields of result: what run makes of each page's rows, structs in the order of fields."""
+    gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__rows"))
+    made = F.udf(run, f"array<struct<{result}>>", useArrow=True)
+    return gathered.select(*key, F.inline(made("__rows")))
 
 
 def near(a, b, gap: float) -> bool:
     return max(0.0, a[0] - b[2], b[0] - a[2]) <= gap and max(0.0, a[1] - b[3], b[1] - a[3]) <= gap
 
 
+def around(a, b) -> tuple:
+    return min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])
+
+
+def _absorbed(boxes: list[tuple], r: tuple, gap: float) -> bool:
+    """Whether the first of boxes near r took it in."""
+    for k, m in enumerate(boxes):
+        if near(m, r, gap):
+            boxes[k] = around(m, r)
+            return True
+    return False
+
+
 def close_rects(rects: list[tuple], gap: float) -> list[tuple]:
-    """The bounding boxes of the transitive closure of nearness, boxes counting as rectangles; swept from the end."""
-    rects = list(rects)
+    """The bounding boxes of the transitive closure of nearness, boxes counting as rectangles.
+
+    The first pass takes rectangles in their order; then sweeps run from the end until one of them merges nothing, and
+    every sweep turns the order round.
+    """
+    boxes: list[tuple] = []
+    for r in rects:
+        if not _absorbed(boxes, r, gap):
+            boxes.append(r)
     while True:
-        merged: list[tuple] = []
-        for r in reversed(rects):
-            while (k := next((i for i, m in enumerate(merged) if near(r, m, gap)), None)) is not None:
-                m = merged.pop(k)
-                r = (min(r[0], m[0]), min(r[1], m[1]), max(r[2], m[2]), max(r[3], m[3]))
-            merged.append(r)
-        if len(merged) == len(rects):
-            return merged
-        rects = merged
+        kept: list[tuple] = []
+        n = len(boxes)
+        while boxes:
+            r = boxes.pop()
+            if not _absorbed(boxes, r, gap):
+                kept.append(r)
+        boxes = kept
+        if len(kept) == n:
+            return kept
 
 
 def merge_rects(rects: DataFrame, key: list[str], gaps: tuple = LAYOUT.table_gaps) -> DataFrame:
-    """key, part, x0, y0, x1, y1: boxes of each page's rectangles, closed under each gap in turn."""
+    """key, part, x0, y0, x1, y1: boxes of each page's rectangles (in the order of seq), closed under each gap in turn."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        boxes = list(pdf.sort_values(["seq"])[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None))
+    def run(rows):
+        boxes = [tuple(r)[1:] for r in rows]
         for g in gaps:
             boxes = close_rects(boxes, g)
-        out = pd.DataFrame(boxes, columns=["x0", "y0", "x1", "y1"])
-        out.insert(0, "part", range(1, len(out) + 1))
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+        return [(k + 1, *b) for k, b in enumerate(boxes)]
 
-    fields = ", ".join(f"{k} {dict(rects.dtypes)[k]}" for k in key)
-    return per_page(rects, key, run, f"{fields}, part int, x0 double, y0 double, x1 double, y1 double")
+    return per_page(rects, key, ["seq", *(F.col(s).cast("double").alias(s) for s in SIDES)], run, f"part int, {BOX}")
 
 
-def joined_text(spans: list[dict], gap: float) -> str:
+def joined_text(spans: list, gap: float) -> str:
     text, end = "", None
     for s in spans:
-        if text and (s["x0"] - end > gap or not (text[-1] in ' -“"(/' or s["text"][:1] in ",.):;")):
+        if end is not None and (s.x0 - end > gap or not (text[-1:] in tuple(' -“"(/') or s.text[:1] in tuple(",.):;"))):
             text += " "
-        text += s["text"]
-        end = s["x1"]
+        text += s.text
+        end = s.x1
     return text.strip()
 
 
 def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
-    """Lines of each page: spans in reading order join the first line whose running mean height is close."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf.to_dict("records"), key=lambda s: (round(s["y0"], 1), s["x0"], s["seq"]))
-        lines: list[dict] = []
-        for s in rows:
-            line = next((x for x in lines if abs(x["mean"] - s["y0"]) <= cfg.row_gap), None)
-            if line is None:
-                lines.append({"mean": s["y0"], "spans": [s]})
+    """Lines of each page: spans in reading order join the first line whose running mean height is close.
+
+    spans: key, seq, text, x0..y1, is_bold; those without text are left out.
+    """
+
+    def run(rows):
+        lines: list[list] = []
+        for s in sorted(rows, key=lambda s: (round(s.y0, 1), s.x0)):
+            at = next((x for x in lines if abs(x[0] - s.y0) <= cfg.row_gap), None)
+            if at is None:
+                lines.append([s.y0, s])
             else:
-                line["mean"] = (line["mean"] + s["y0"]) / 2
-                line["spans"].append(s)
+                at[0] = (at[0] + s.y0) / 2
+                at.append(s)
         out = []
-        for x in lines:
-            got = sorted(x["spans"], key=lambda s: s["x0"])
-            box = (min(s["x0"] for s in got), min(s["y0"] for s in got), max(s["x1"] for s in got), max(s["y1"] for s in got))
-            out.append((joined_text(got, cfg.word_gap), *box, sum(bool(s["is_bold"]) for s in got) / len(got)))
+        for _, *got in lines:
+            box = tuple(got[0][k] for k in SIDES)
+            for s in got[1:]:
+                box = around(box, tuple(s[k] for k in SIDES))
+            out.append((joined_text(sorted(got, key=lambda s: s.x0), cfg.word_gap), *box, sum(bool(s.is_bold) for s in got) / len(got)))
         out.sort(key=lambda r: (r[2], r[1]))
-        table = pd.DataFrame(out, columns=["text", "x0", "y0", "x1", "y1", "bold_share"])
-        table.insert(0, "line_no", range(len(table)))
-        for k in reversed(key):
-            table.insert(0, k, pdf[k].iloc[0])
-        return table
+        return [(k, *r) for k, r in enumerate(out)]
+
+    fields = ["seq", "text", *(F.col(s).cast("double").alias(s) for s in SIDES), "is_bold"]
+    return per_page(spans.where("text <> ''"), key, fields, run, f"line_no int, text string, {BOX}, bold_share double")
 
-    fields = ", ".join(f"{k} {dict(spans.dtypes)[k]}" for k in key)
-    return per_page(spans, key, run, f"{fields}, line_no int, text string, x0 double, y0 double, x1 double, y1 double, bold_share double")
+
+def bold_lines(lines: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
+    """Non-empty lines enough of whose spans are bold."""
+    return lines.where((F.col("bold_share") >= cfg.bold_share) & (F.col("text") != ""))
 
 
 def merge_bold(lines: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
     """Bold lines that continue each other become one block; each is compared with the block so far."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blocks: list[list] = []
-        for r in pdf.sort_values(["y0", "x0", "line_no"], kind="stable").itertuples():
-            cur = blocks[-1] if blocks else None
-            if cur and ((abs(r.y0 - cur[2]) <= cfg.row_gap and r.x0 >= cur[1]) or (0 <= r.y0 - cur[4] <= cfg.bold_next and abs(r.x0 - cur[1]) <= cfg.bold_shift)):
-                blocks[-1] = [f"{cur[0]} {r.text}", min(cur[1], r.x0), min(cur[2], r.y0), max(cur[3], r.x1), max(cur[4], r.y1)]
-            else:
-                blocks.append([r.text, r.x0, r.y0, r.x1, r.y1])
-        out = pd.DataFrame([[" ".join(b[0].split()), *b[1:]] for b in blocks], columns=["text", "x0", "y0", "x1", "y1"])
-        out.insert(0, "block_no", range(len(out)))
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def run(rows):
+        blocks: list[tuple] = []
+        for r in rows:
+            box = tuple(r[k] for k in SIDES)
+            if blocks:
+                text, cur = blocks[-1]
+                beside = abs(r.y0 - cur[1]) <= cfg.row_gap and r.x0 >= cur[0]
+                below = 0 <= r.y0 - cur[3] <= cfg.bold_next and abs(r.x0 - cur[0]) <= cfg.bold_shift
+                if beside or below:
+                    blocks[-1] = (f"{text} {r.text}", around(cur, box))
+                    continue
+            blocks.append((r.text, box))
+        return [(k, re.sub(r"\s{2,}", " ", text).strip(), *box) for k, (text, box) in enumerate(blocks)]
 
-    fields = ", ".join(f"{k} {dict(lines.dtypes)[k]}" for k in key)
-    return per_page(lines.where(f"bold_share >= {cfg.bold_share} and text <> ''"), key, run, f"{fields}, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    fields = [F.col(s).cast("double").alias(s) for s in ("y0", "x0")] + ["line_no", "text"] + [F.col(s).cast("double").alias(s) for s in ("x1", "y1")]
+    return per_page(bold_lines(lines, cfg), key, fields, run, f"block_no int, text string, {BOX}")
 
 
 def table_pages(segments: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
-    """key of the pages whose segments (kind, x1, y1, x2, y2) are enough, of both kinds, and span enough area."""
+    """key, n_h, n_v of the pages whose segments (kind, x1, y1, x2, y2) are enough, of both kinds, and span enough area."""
     low, high = (lambda d: F.min(F.least(f"{d}1", f"{d}2"))), (lambda d: F.max(F.greatest(f"{d}1", f"{d}2")))
     area = (high("x") - low("x")) * (high("y") - low("y"))
-    pages = segments.where("kind in ('h', 'v')").groupBy(*key).agg(F.count_if(F.col("kind") == "h").alias("n_h"), F.count_if(F.col("kind") == "v").alias("n_v"), area.alias("area"))
-    return pages.where((F.col("n_h") >= cfg.table_horizontal) & (F.col("n_v") >= cfg.table_vertical) & (F.col("area") >= cfg.table_area)).select(*key)
+    pages = segments.where("kind in ('h', 'v')").groupBy(*key).agg(F.count_if(F.col("kind") == "h").alias("n_h"), F.count_if(F.col("kind") == "v").alias("n_v"), area.alias("__area"))
+    return pages.where((F.col("n_h") >= cfg.table_horizontal) & (F.col("n_v") >= cfg.table_vertical) & (F.col("__area") >= cfg.table_area)).drop("__area")
 
 
 def table_regions(segments: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
-    """key, part, x0, y0, x1, y1: tables of the pages that pass the gate. segments: key, seq, kind, x1, y1, x2, y2."""
+    """key, part, x0, y0, x1, y1: tables of the pages that pass the gate. segments: key, seq, kind, x1, y1, x2, y2.
+
+    Horizontal segments come before vertical ones, each kind in the order of seq.
+    """
     rows = segments.where("kind in ('h', 'v')").join(table_pages(segments, key, cfg), key, "left_semi")
     box = [f(f"{d}1", f"{d}2").cast("double").alias(n) for n, f, d in (("x0", F.least, "x"), ("y0", F.least, "y"), ("x1", F.greatest, "x"), ("y1", F.greatest, "y"))]
-    return merge_rects(rows.select(*key, "seq", *box), key, cfg.table_gaps).where(geometry.area() >= cfg.table_area)
+    rows = rows.select(*key, F.struct("kind", "seq").alias("seq"), *box)
+    return merge_rects(rows, key, cfg.table_gaps).where(geometry.area() >= cfg.table_area)
 
 
 def figure_regions(placements: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
@@ -145,8 +172,8 @@ def is_chapter(c: Column) -> Column:
 
 def question_starts(lines: DataFrame) -> DataFrame:
     """The lines that begin with one to four digits, a point and white space, with the number as num."""
-    number = F.regexp_extract("text", rf"^{SPACE}*([0-9]{{1,4}})\.{SPACE}", 1)
-    return lines.withColumn("num", F.when(number != "", number).cast("int")).where("num is not null")
+    number = F.regexp_extract("text", rf"^{SPACE}*({DIGIT}{{1,4}})\.{SPACE}", 1)
+    return lines.withColumn("num", F.when(number != "", number).try_cast("int")).where("num is not null")
 
 
 def hinges(blocks: DataFrame, starts: DataFrame, pages: DataFrame, doc: str, page: str, cfg: Layout = LAYOUT) -> DataFrame:
@@ -156,8 +183,8 @@ def hinges(blocks: DataFrame, starts: DataFrame, pages: DataFrame, doc: str, pag
     page's end takes one near the top of the next page. pages: doc, page, page_height.
     """
     ys = starts.groupBy(doc, page).agg(F.collect_list("y0").alias("__ys"), F.min("y0").alias("__top"))
-    rows = blocks.where(~is_chapter(F.col("text"))).join(pages.select(doc, page, "page_height"), [doc, page], "left")
+    rows = blocks.where(~is_chapter(F.col("text"))).join(pages.select(doc, page, F.col("page_height").alias("__height")), [doc, page], "left")
     rows = rows.join(ys.select(doc, page, "__ys"), [doc, page], "left").join(ys.select(doc, (F.col(page) - 1).alias(page), "__top"), [doc, page], "left")
     here = F.array_min(F.filter("__ys", lambda y: y >= F.col("y1"))) - F.col("y1") <= cfg.hinge_reach
-    after = (F.col("page_height") - F.col("y1") <= cfg.page_bottom) & (F.col("__top") <= cfg.page_top)
+    after = (F.col("__height") - F.col("y1") <= cfg.page_bottom) & (F.col("__top") <= cfg.page_top)
     return rows.where(F.coalesce(here, F.lit(False)) | F.coalesce(after, F.lit(False))).select(blocks.columns)

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillstream.functions import text
@@ -26,7 +27,11 @@ def test_paragraph_marks(spark):
 
 def test_signature_and_trailing_hinge(spark):
     assert one(spark, "Texto.\nFirmado Digitalmente por Ana Paz\n3 de mayo de 2024.", text.without_signature) == "Texto."
-    assert one(spark, "Texto Anexo A", lambda c: text.without_trailing(c, F.array(F.lit("Anexo A.")))) == "Texto"
+    assert one(spark, " Texto.\n", text.without_signature) == " Texto."
+    cut = lambda t, *hs: one(spark, t, lambda c: text.without_trailing(c, F.array(*map(F.lit, hs)).cast("array<string>")))
+    assert cut("Texto Anexo A", "Anexo A.") == "Texto"
+    assert cut("Texto Anexo A", "Anexo A.", "xo A") == "Texto"  # both forms of a hinge before the next hinge
+    assert cut("Texto Anexo A \n", " Anexo A ") == "Texto" and cut("Texto \n") == "Texto" and cut("Texto", "", " ", "x") == "Texto"
 
 
 def test_blank_line_defeats_the_year_test():
@@ -65,9 +70,10 @@ def test_repeated_entries_count_and_ties_keep_order(spark):
 
 def test_question_segments_whatever_a_text_begins_with(spark, tmp_path):
     texts = ["Abc\nd", "Élan\nb\n", "Ñu", "12 a", "¿Que?", "", None]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted(tuple(r) for r in catalog.question_segments(spark, str(tmp_path)).collect())
-    assert got == [(i, k, k + 1) for i, t in enumerate(texts) if t is not None for k in range(len(t.split("\n")))]
+    rows = [(i * 11 + 8, t) for i, t in enumerate(texts)]  # first lines get a number
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in catalog.question_segments(spark, str(tmp_path)).collect()}
+    assert got == {i for i, t in rows if t is not None}
 
 
 def test_table_gate_and_areas(spark):
@@ -93,3 +99,121 @@ def test_chapters_starts_and_hinges(spark):
     starts = spark.createDataFrame([("d", 1, 155.0), ("d", 1, 140.0), ("d", 1, 90.0), ("d", 2, 250.0), ("d", 3, 250.1)], "doc string, page int, y0 double")
     pages = spark.createDataFrame([("d", p, 800.0) for p in (1, 2, 3)], "doc string, page int, page_height double")
     assert {r.text for r in layout.hinges(blocks, starts, pages, "doc", "page").collect()} == {"near", "far", "foot"}
+
+
+def test_lines_lose_all_carriage_returns_and_pages_are_trimmed(spark):
+    pages = spark.createDataFrame([(1, 1, "a\r\r\fb"), (1, 2, None)], "doc int, page int, text string")
+    assert [r.line for r in lines.page_lines(pages, ["doc", "page"]).orderBy("page", "line_no").collect()] == ["a", "b", ""]
+    texts = [(1, "abc-\n"), (2, "   "), (3, "\ndef"), (4, None), (5, " -"), (6, "x")]
+    pages = spark.createDataFrame([("d", *t) for t in texts], "doc string, page int, text string")
+    assert lines.stitch(pages, "doc", "page").first().text == "abcdef\nx"
+
+
+def test_noise_lines(spark):
+    said = ["a", " RAZÓN: b", "12", "12345", "", "x Firmado digitalmente y", "h", "sellodigital.sea.gob.cl", "٣٤"]
+    rows = spark.createDataFrame([("d", k, t) for k, t in enumerate(said)], "doc string, line_no int, line string")
+    often = spark.createDataFrame([("d", "h"), ("e", "a")], "doc string, line string")
+    left = lines.drop_noise(rows, often, "doc")
+    assert [r.line for r in left.orderBy("line_no").collect()] == ["a", "12345", ""]
+    assert lines.page_texts(left, ["doc"]).first().text == "a\n12345\n"
+
+
+def closure(rects, gap):
+    """All boxes merged until none are near, whatever the order."""
+    boxes = [tuple(map(float, r)) for r in rects]
+    done = False
+    while not done:
+        done = True
+        for i in range(len(boxes)):
+            for j in range(i):
+                a, b = boxes[i], boxes[j]
+                if max(a[0] - b[2], b[0] - a[2], a[1] - b[3], b[1] - a[3]) <= gap:
+                    rest = [x for k, x in enumerate(boxes) if k not in (i, j)]
+                    boxes, done = [*rest, (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))], False
+                    break
+            if not done:
+                break
+    return sorted(boxes)
+
+
+def test_rects_close_to_their_closure(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for page in range(30):
+        for k in range(int(rng.integers(1, 14))):
+            x, y, w, h = rng.integers(0, 300, 2).tolist() + rng.integers(1, 40, 2).tolist()
+            rows.append((page, k, float(x), float(y), float(x + w), float(y + h)))
+    df = spark.createDataFrame(rows, "page int, seq int, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for r in layout.merge_rects(df, ["page"], (12.0, 24.0)).collect():
+        got.setdefault(r.page, []).append(tuple(r)[2:])
+    for page in range(30):
+        first = closure([r[2:] for r in rows if r[0] == page], 12.0)
+        assert sorted(got[page]) == closure(first, 24.0)
+    # Two near boxes and a far one: the sweep turns the order round.
+    assert layout.close_rects([(0, 0, 10, 10), (15, 0, 20, 10), (100, 100, 110, 110)], 10) == [(100, 100, 110, 110), (0, 0, 20, 10)]
+
+
+SPAN = "page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, is_bold boolean"
+
+
+def test_lines_and_bold_blocks(spark):
+    spans = [
+        (1, 0, "2.", 0, 100.0, 10, 110, True), (1, 1, "Título", 12, 101.0, 60, 111, True), (1, 2, ",", 62, 100.2, 64, 110, False), (1, 3, "lejos", 90, 99.9, 120, 110, True),
+        (1, 4, "sigue  aquí", 5, 114.0, 60, 124, True), (1, 5, "(", 0, 300.0, 5, 310, False), (1, 6, "x", 6, 300.0, 10, 310, False), (1, 7, None, 0, 0.0, 1, 1, False), (1, 8, "", 0, 0.0, 1, 1, True),
+        (2, 0, "b", 20, 370.65, 30, 380, True), (2, 1, "a", 0, 370.6, 10, 380, True),
+    ]
+    df = spark.createDataFrame([tuple(float(v) if k in (3, 4, 5, 6) else v for k, v in enumerate(s)) for s in spans], SPAN)
+    rows = layout.assemble_lines(df, ["page"]).orderBy("page", "line_no").collect()
+    assert [(r.page, r.text, round(r.bold_share, 2)) for r in rows] == [(1, "2. Título, lejos", 0.75), (1, "sigue  aquí", 1.0), (1, "(x", 0.0), (2, "a b", 1.0)]
+    assert tuple(rows[0])[3:7] == (0.0, 99.9, 120.0, 111.0)
+    bold = layout.merge_bold(layout.assemble_lines(df, ["page"]), ["page"]).orderBy("page", "block_no").collect()
+    assert [tuple(r) for r in bold] == [(1, 0, "2. Título, lejos sigue aquí", 0.0, 99.9, 120.0, 124.0), (2, 0, "a b", 0.0, 370.6, 30.0, 380.0)]
+
+
+def test_bold_blocks_keep_single_tabs(spark):
+    rows = [(1, 0, "a\tb", 0.0, 0.0, 9.0, 9.0, 1.0), (1, 1, "c \t d", 0.0, 12.0, 9.0, 20.0, 1.0), (1, 2, "", 0.0, 21.0, 9.0, 30.0, 1.0), (1, 3, "e", 0.0, 22.0, 9.0, 30.0, 0.5)]
+    df = spark.createDataFrame(rows, "page int, line_no int, text string, x0 double, y0 double, x1 double, y1 double, bold_share double")
+    assert [r.text for r in layout.merge_bold(df, ["page"]).collect()] == ["a\tb c d"]
+
+
+def test_formatting_of_questions():
+    assert questions.formatted("uno\ndos\n\na  b   c\nd  e\nfin") == "uno dos\na;b;c\nd;e;\nfin"
+    assert questions.formatted("lista:\na) x\nb) y\r\n") == "lista: \n a) x \n b) y"
+    assert questions.formatted("") == "" == questions.formatted(None) and questions.formatted("\f\n \n") == ""
+    table = ["antes", "Tabla XX. Partes y obras del Proyecto", "saltada", "[Nombre parte/obra 1]", "una des-", "cripción", "[Temporal o permanente]", "[Construcción, operación y cierre]", "",
+             "[Nombre parte/obra 2]", "otra", "[otra fase]", "Tabla XX.  partes y obras del proyecto", "x", "[nombre parte/obra 3]", "12.", "después"]
+    want = ["antes", "Tabla;Nombre;Descripción;Carácter;Fase"]
+    title = "Tabla XX. Partes y obras del Proyecto"
+    want += [f"{title};[Nombre parte/obra 1];una descripción;Temporal o permanente;Construcción, operación y cierre"]
+    # A name without a character cell takes everything up to the next name or character cell.
+    want += [f"{title};[Nombre parte/obra 2];otra [otra fase] Tabla XX. partes y obras del proyecto x;;nombre parte/obra 3"]
+    assert questions.formatted("\n".join(table)) == "\n".join([*want, "12. después"])
+    assert questions.formatted("a\nTabla XX. Partes y obras del Proyecto\nb") == "a\nTabla XX. Partes y obras del Proyecto b"
+
+
+def test_asof_lookup_and_parts(spark):
+    e = spark.createDataFrame([("d", 1, "l", 10), ("d", 2, "r", 20), ("d", 3, "l", 30), ("e", 1, "l", 5)], "doc string, at int, side string, v int")
+    back = hierarchy.asof_backward(e, ["doc"], ["at"], F.col("side") == "r", "v", "b")
+    both = {(r.doc, r.at): (r.b, r.f) for r in hierarchy.asof_forward(back, ["doc"], ["at"], F.col("side") == "r", "v", "f").collect()}
+    assert both == {("d", 1): (None, 20), ("d", 2): (20, 20), ("d", 3): (20, None), ("e", 1): (None, None)}
+    assert hierarchy.number_parts(e, ["doc", "side"], ["at"]).agg(F.sum("part")).first()[0] == 5
+    last = hierarchy.last_write(e, ["doc", "side"], ["at"])
+    assert {(r.doc, r.side, r.v) for r in last.collect()} == {("d", "l", 30), ("d", "r", 20), ("e", "l", 5)}
+    assert hierarchy.last_write(e.limit(0), ["doc"], ["at"]).count() == 0
+
+
+def test_classified_records_and_details(spark):
+    tax = [(0, "A", "Uno", 0, "co₂"), (0, "A", "Uno", 1, "ruido"), (0, "A", "Uno", 2, "ruido de fondo"), (1, "B", "Dos", 0, "Agua"), (1, "B", "Dos", 1, "água"), (2, "C", "Tres", 0, "pas"), (2, "C", "Tres", 1, "  ")]
+    tax = spark.createDataFrame(tax, "topic_pos int, topic_id string, topic_name string, kw_pos int, keyword string")
+    q = [("d", 0, "AGUA", "ruido de  fondo", 7, "El CO₂ y el pas"), ("d", 1, None, None, 8, None), ("d", 2, "", "pasos", 9, "so2₂ pás")]
+    rows = spark.createDataFrame([(*r, []) for r in q], "doc_id string, seq int, capitulo string, bisagra string, numero int, texto string, tablas_figuras array<struct<tipo string, parte int, png string>>")
+    out, detail, total = classify.classify_questions(rows, tax)
+    a, b, c = out.orderBy("seq").collect()
+    assert (a.tema_principal_id, a.score, a.temas_principales_id, a.keywords_match) == ("A", 11.0, ["A"], ["co₂", "ruido", "ruido de fondo"])
+    assert [tuple(x) for x in a.temas_secundarios] == [("Dos", 6.0)]  # both spellings fold to one form and count each
+    assert (b.tema_principal, b.score, b.temas_principales, b.capitulo) == ("Sin clasificar", 0.0, [], None) and c.tema_principal_id == "SIN_CLASIFICAR"
+    d = detail.where("seq = 0").first().temas
+    assert [t.id for t in d] == ["A", "B"] and d[0].detalle.bisagra == ["ruido", "ruido de fondo"] and d[0].detalle.texto == ["co₂"] and d[1].detalle.capitulo[0] == "Agua"
+    assert tuple(total.first()) == (3, 1, 2)
+    assert classify.classify_questions(rows, tax.limit(0))[2].first().classified == 0
