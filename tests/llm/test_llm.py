@@ -4,9 +4,10 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quillstream.llm import embedding_dedup, exact_dedup, langid, minhash_dedup, mixing, packing, shards, suffix_dedup, tokens, url_filter, warc
-from quillstream.llm.common import shared_dir
+from quillstream.llm.common import hot_join, shared_dir
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -207,18 +208,39 @@ def test_warc_round_trip(spark):
     assert {r.page_id: r.payload.decode() for r in warc.reconstruct(spark, path).collect()} == {i: h or "" for i, h in enumerate(html)}
 
 
-@pytest.mark.parametrize("tile", [3, 100])
-def test_embeddings_equal_brute_force(spark, tile):
+def brute_links(ids, x, threshold=0.95):
+    """(links of each row, smallest id reachable) of the rows of x."""
+    y = x / np.linalg.norm(x, axis=1)[:, None]
+    near = y @ y.T >= threshold
+    label = np.array(ids)
+    while True:
+        new = np.array([label[near[i]].min() for i in range(len(ids))])
+        if (new == label).all():
+            return near.sum(1) - 1, label
+        label = new
+
+
+@pytest.mark.parametrize("tile,kind", [(3, "double"), (100, "double"), (16, "float")])
+def test_embeddings_equal_brute_force(spark, tile, kind):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(12, 8))
-    x[5:9] = x[0] * 2 + rng.normal(size=(4, 8)) * 0.1
-    vecs = [v.tolist() for v in x] + [None, [0.0] * 8, [float("nan")] * 8, x[0].tolist()]
-    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vecs)], "vec_id long, embedding array<double>, label int")
-    got = {r.vec_id: r for r in embedding_dedup.embedding_dedup(df, tile=tile).collect()}
-    y = np.vstack([x, x[:1]])
-    y /= np.linalg.norm(y, axis=1)[:, None]
-    ids = [*range(12), 15]
-    near = y @ y.T >= 0.95
-    for a, i in enumerate(ids):
-        assert got[i].n_links == near[a].sum() - 1
-    assert got[15].component_id == 0 and got[12].n_links == 0 and got[13].kept
+    x = rng.normal(size=(400, 8)).astype("f4" if kind == "float" else "f8")
+    for k in range(0, 120, 3):  # chains of near vectors
+        x[k + 1] = x[k] + rng.normal(size=8) * 0.13
+        x[k + 2] = x[k + 1] * 3 + rng.normal(size=8) * 0.3
+    x[150:300] = x[149] + rng.normal(size=(150, 8)) * 0.02  # one group of a third
+    x[300:310] = x[0]
+    ids = [*range(398), 7, 7]  # different vectors under one vec_id
+    vecs = [(i, v.tolist(), 0) for i, v in zip(ids, x)] + [(400, None, 0), (401, [0.0] * 8, 0), (402, [float("nan")] * 8, 0), (None, x[0].tolist(), 0), (403, [1.0, 2.0], 0), (404, [], 0), (405, [2.0, 4.0], 1)]
+    df = spark.createDataFrame(vecs, f"vec_id long, embedding array<{kind}>, label int")
+    got = sorted(tuple(r)[:3] for r in embedding_dedup.embedding_dedup(df, tile=tile, steps=(2, 5)).collect() if r.vec_id is not None)
+    n, component = brute_links(ids, x.astype("f8"))
+    want = list(zip(ids, n.tolist(), component.tolist())) + [(400, 0, 400), (401, 0, 401), (402, 0, 402), (403, 1, 403), (404, 0, 404), (405, 1, 403)]
+    assert got == sorted(want)
+    assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
+
+
+def test_hot_join_equals_join(spark):
+    rows = spark.createDataFrame([(i, "a" if i % 3 else f"k{i}") for i in range(9000)] + [(9001, None)], "i long, k string")
+    owners = rows.where("k is not null").groupBy("k").count().withColumnRenamed("count", "n")
+    got = hot_join(rows, owners, "k", F.col("n"), "left")
+    assert got.count() == 9001 and got.where("k = 'a' and n = 6000").count() == 6000 and got.where("n is null").count() == 1
