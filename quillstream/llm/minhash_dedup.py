@@ -12,8 +12,12 @@ of ``strict_rows`` further coordinates (miss below 1e-7 again), which part docum
 each, the documents outside the largest component are asked against all the others, tile by tile, so no pair of a
 bucket that could still join two components is left out, and only links leave a tile, never pairs.
 
-A null doc_id links with nothing (component null, kept false). Rows with one doc_id are one node: it is linked if any
-of their texts is. Empty tables give empty results; other columns are ignored. Long texts are read whole.
+Shingles are told apart by 64-bit hashes; the first permutation is a bijection of these hashes of which the leading 32
+bits are kept. Joins on a bucket or a text are salted where these are frequent.
+
+A null doc_id links with nothing (component null, kept false). Rows that repeat a doc_id each take the component of
+their own text; texts of which the same doc_id is the smallest count as one document, linked if any of them is. Empty
+tables give empty results; other columns are ignored. Long texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, components, ragged, setup, text_buffer, written
+from .common import Union, components, hot_join, ragged, setup, text_buffer, written
 
 U, V = np.uint64, np.uint32
 
@@ -221,15 +225,16 @@ def _shared(rowset: DataFrame) -> DataFrame:
     """The rows of buckets with several members; buckets with the same members are one (count, ends, sums of hashes)."""
     sums = [F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(s)), 24)).alias(f"f{s}") for s in (1, 2)]
     found = rowset.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *sums)
-    found = found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket"))
-    return rowset.join(found.select("bucket"), "bucket")
+    found = written(found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets")
+    return hot_join(rowset, found, "bucket", F.col("m")).drop("m")
 
 
 def _open(members: DataFrame, part: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, with their component as part."""
     rows = members.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    mixed = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y")
-    return rows.join(mixed.select("bucket"), "bucket")
+    rows = written(rows, "parted")
+    mixed = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
+    return hot_join(rows, written(mixed.select("bucket", "m"), "mixed"), "bucket", F.col("m")).drop("m")
 
 
 def _tiles(live: DataFrame, packed: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
@@ -240,8 +245,8 @@ def _tiles(live: DataFrame, packed: DataFrame, k: int, percent: int, tile: int)
     """
     live = written(live.select("bucket", "doc_id", "part"), "live")
     count = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.max(F.struct("m", "part")).alias("x"))
-    count = count.select("bucket", F.col("x.part").alias("main"), F.expr(f"cast(ceil(m / {4 * tile}) as int)").alias("across"), F.expr(f"cast(ceil((m - x.m) / {tile}) as int)").alias("down"))
-    rows = live.join(count, "bucket")
+    count = count.select("bucket", F.col("x.part").alias("main"), F.expr(f"cast(ceil(m / {4 * tile}) as int)").alias("across"), F.expr(f"cast(ceil((m - x.m) / {tile}) as int)").alias("down"), F.col("m").alias("size"))
+    rows = hot_join(live, written(count, "tiles"), "bucket", F.col("size")).drop("size")
     lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     members = rows.select("bucket", "doc_id", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, down - 1)")).alias("i"), (lot % F.col("across")).cast("int").alias("j"))
     askers = rows.where("part <> main").select("bucket", "doc_id", F.lit(True).alias("asks"), (lot % F.col("down")).cast("int").alias("i"), F.explode(F.expr("sequence(0, across - 1)")).alias("j"))
@@ -279,7 +284,7 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     setup(spark)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = written(src.mapInArrow(_sign(shingle, bands, rows), "doc_id long, n_shingles long, key binary, codes array<long>"), "signed")
-    classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "codes")).alias("r")).select("key", "r.*")
+    classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "codes")).alias("r"), F.count(F.lit(1)).alias("rows")).select("key", "rows", "r.*")
     classes = written(classes, "classes")
     rowset = classes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))
     members = written(_shared(rowset), "members")
@@ -287,8 +292,8 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     # Packed before the join: texts travel as compressed words, and sets are made where they are compared.
     packed = written(src.mapInArrow(_pack, "doc_id long, words binary").where("words is not null").join(asked, "doc_id", "left_semi"), "packed")
     # Every bucket's documents against its smallest one.
-    top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c")).select("bucket", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
-    pairs = members.join(top, "bucket").where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
+    top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
+    pairs = hot_join(members, written(top, "tops"), "bucket", F.col("m")).where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
     pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     both = pairs.join(packed.withColumnsRenamed({"doc_id": "a", "words": "wa"}), "a").join(packed.withColumnsRenamed({"doc_id": "b", "words": "wb"}), "b")
     links = written(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
@@ -300,9 +305,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     fresh = written(_shared(codes.select("doc_id", F.explode("codes").alias("bucket"))), "strict")
     links = links.union(_tiles(_open(fresh, part), few, shingle, percent, tile))
     part = written(components(links), "parts")
-    rep = classes.select("key", F.col("doc_id").alias("node"))
-    rep = rep.join(part, "node", "left").select("key", F.coalesce("component", "node").alias("c"))
-    out = signed.select("doc_id", "n_shingles", "key").join(rep, "key", "left")
+    rep = classes.select("key", "rows", F.col("doc_id").alias("node"))
+    rep = written(rep.join(part, "node", "left").select("key", "rows", F.coalesce("component", "node").alias("c")), "classes")
+    out = hot_join(signed.select("doc_id", "n_shingles", "key"), rep, "key", F.col("rows"), "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))
 

@@ -56,6 +56,47 @@ def test_near_dedup_links(spark):
     assert minhash_dedup.near_dedup(docs(spark, [])).count() == 0
 
 
+def families(seed, n=40):
+    """Texts with copies, near copies on both sides of the threshold, shared passages and repeated words."""
+    rng, out = np.random.default_rng(seed), [None, "", " \t", "one", "One two", "a b c", "A B C D", "x " * 400]
+    shared = prose(120, 999)
+    for k in range(n):
+        words = prose(int(rng.integers(4, 220)), 1000 + k).split()
+        out.append(" ".join(words))
+        for share in (0.0, 0.01, 0.03, 0.05, 0.08, 0.15):
+            near = [w if rng.random() >= share else "zz" + w for w in words]
+            out.append((" ".join(near).upper() if share == 0.01 else "\n ".join(near)) + (" tail" if share == 0.05 else ""))
+        if k % 4 == 0:
+            out.append(shared + " " + " ".join(words[: int(rng.integers(1, 60))]))
+    return out
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_near_dedup_equals_brute_force(spark, k):
+    texts = families(3)
+    sets = []
+    for t in texts:
+        w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set())
+    label = list(range(len(texts)))
+    done = False
+    while not done:
+        done = True
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if a and label[i] != label[j] and 100 * len(a & b) >= 80 * len(a | b):
+                    label[i] = label[j] = min(label[i], label[j])
+                    done = False
+    got = {r.doc_id: tuple(r)[1:] for r in minhash_dedup.near_dedup(docs(spark, texts), shingle=k, tile=16).collect()}
+    assert got == {i: (len(s), label[i], label[i] == i) for i, s in enumerate(sets)}
+
+
+def test_near_dedup_with_null_and_repeated_ids(spark):
+    rows = docs(spark, [prose(50, 1), prose(50, 1), prose(50, 2), prose(50, 2)], [5, None, 5, 7])
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash_dedup.near_dedup(rows).collect())
+    assert got == [(0, 0, False), (5, 5, True), (5, 5, True), (7, 5, False)]
+
+
 def test_exact_dedup(spark):
     got = {r.doc_id: r for r in exact_dedup.exact_dedup(docs(spark, TEXTS), buffer_bytes=1000).collect()}
     assert got[3].keep_id == 5 and got[5].kept and not got[3].kept and got[0].group_size == 2 and got[1].kept
