@@ -45,21 +45,23 @@ def size_hint(df: DataFrame) -> int:
     return n if n < 1 << 60 else 64 << 20
 
 
-def hot_join(left: DataFrame, right: DataFrame, on: str, size, how: str = "inner", most_hot: int = 2000) -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, on: str | list[str], size, how: str = "inner", most_hot: int = 2000) -> DataFrame:
     """left joined with right, whose rows have distinct keys, without gathering a frequent key in one task.
 
-    size: a column of right that says how many rows of left have its key. Keys with more than 1 / most_hot of all rows
-    are at most most_hot; they alone are broadcast, their rows of left are salted and their row of right is repeated
-    per salt. right should be a written table, as it is read three times.
+    size: a column of right that says how many rows of left have its key, or a table of the keys and their number n.
+    Keys with more than 1 / most_hot of all rows are at most most_hot; they alone are broadcast, their rows of left are
+    salted and their row of right is repeated per salt. What holds the sizes should be a written table, as it is read
+    several times.
     """
-    sized = right.select(F.col(on), size.cast("long").alias("__n"))
+    on = [on] if isinstance(on, str) else list(on)
+    sized = size.select(*on, F.col("n").cast("long").alias("__n")) if isinstance(size, DataFrame) else right.select(*on, size.cast("long").alias("__n"))
     total = sized.agg(F.sum("__n")).first()[0] or 0
     part = max(1000, -(-total // most_hot))
-    hot = F.broadcast(sized.where(F.col("__n") > part).select(on, F.expr(f"cast(ceil(__n / {part}) as int)").alias("__salts")))
+    hot = F.broadcast(sized.where(F.col("__n") > part).select(*on, F.expr(f"cast(ceil(__n / {part}) as int)").alias("__salts")))
     salts = F.coalesce("__salts", F.lit(1))
     a = left.join(hot, on, "left").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int")).drop("__salts")
     b = right.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__salts")
-    return a.join(b, [on, "__salt"], how).drop("__salt")
+    return a.join(b, [*on, "__salt"], how).drop("__salt")
 
 
 def blocks_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import setup, text_buffer
+from .common import hot_join, setup, text_buffer, written
 
 PARTIAL = "length long, hash long, text binary, low long, high long, n long"
 OWNERS = "text_sha256 string, low long, high long, group_size long"
@@ -190,9 +190,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", buffer_bytes: int = 24 <
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     partial = src.mapInArrow(lambda it: _partials(it, buffer_bytes, slices), PARTIAL)
     owners = partial.repartition("length", "hash").sortWithinPartitions("length", "hash").mapInArrow(_merge, OWNERS)
-    owner = owners.select("text_sha256", F.col("high" if keep == "largest" else "low").alias("keep_id"), "group_size")
+    owner = written(owners.select("text_sha256", F.col("high" if keep == "largest" else "low").alias("keep_id"), "group_size"), "owners")
     rows = src.mapInArrow(_digests, "doc_id long, text_sha256 string")
-    return rows.join(owner, "text_sha256").select(
+    return hot_join(rows, owner, "text_sha256", F.col("group_size")).select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )
 

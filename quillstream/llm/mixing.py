@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import setup, written
+from .common import hot_join, setup, written
 
 DOMAIN_WEIGHTS = {"d0": 4, "d1": 3, "d2": 2, "d3": 1}
 LANGUAGE_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 1}
@@ -80,12 +80,12 @@ def mix(docs: DataFrame, tenths: int = 4, epochs: int = 3, seed: int = 17, per_b
     rows = written(rows, "mix")
     leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n"))
     plan = written(budgets(leaves, tenths, epochs, domain_weights, language_weights), "budget")
-    plan = plan.select(*LEAF, F.expr("if(tokens = 0, 0, give div tokens)").alias("epochs_full"), F.expr("if(tokens = 0, 0, give % tokens)").alias("rest"))
-    digits = 1
-    while 16**digits * per_bucket < rows.count() and digits < 12:
+    plan = plan.select(*LEAF, "n", F.expr("if(tokens = 0, 0, give div tokens)").alias("epochs_full"), F.expr("if(tokens = 0, 0, give % tokens)").alias("rest"))
+    digits, total = 1, rows.count()
+    while 16**digits * per_bucket < total and digits < 12:
         digits += 1
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epochs_full").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    rows = rows.join(plan, LEAF).withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
+    rows = hot_join(rows, plan, LEAF, F.col("n")).drop("n").withColumn("key", key).withColumn("bucket", F.substring("key", 1, digits))
     sums = rows.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("held"))
     sums = sums.withColumn("base", F.coalesce(F.sum("held").over(W.partitionBy(*LEAF).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("held")
     inside = W.partitionBy(*LEAF, "bucket").orderBy("key", "doc_id", "n_tokens", *also).rowsBetween(W.unboundedPreceding, -1)

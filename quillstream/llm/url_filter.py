@@ -50,6 +50,7 @@ class DigestArray:
             ]
         )
         self.lengths = sorted({len(r.partition("/")[2]) + 1 if "/" in r else 0 for r in best})
+        self.longest = max((len(r.partition("/")[0]) for r in best), default=0)
 
 
 def mapped(blob: bytes) -> tuple:
@@ -68,25 +69,25 @@ def mapped(blob: bytes) -> tuple:
     return _open[key]
 
 
-def probes(host: str, path: str, lengths: list[int]) -> list[bytes]:
-    """Every host suffix on a label border with every path prefix that a rule may have, the longest first."""
-    if not host:
-        return []
-    ends = [host]
-    while "." in ends[-1]:
-        ends.append(ends[-1].partition(".")[2])
-    out = [h + path[:n] for h in ends if h for n in lengths if n <= len(path)]
+def probes(host: str, path: str, lengths: list[int], longest: int) -> list[bytes]:
+    """Every host suffix on a label border, no longer than a rule's host, with every path prefix that a rule may have,
+    the longest first."""
+    out = []
+    at = 0 if len(host) <= longest else host.find(".", len(host) - longest - 1) + 1 or len(host)
+    while at < len(host):
+        out += [host[at:] + path[:n] for n in lengths if n <= len(path)]
+        at = host.find(".", at) + 1 or len(host)
     return sorted((x.encode() for x in out), key=len, reverse=True)
 
 
-def _judge(blob: bytes, lengths: list[int], default: str):
+def _judge(blob: bytes, lengths: list[int], longest: int, default: str):
     def run(batches):
         keys, blocks, offs, text = mapped(blob)
         for b in batches:
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
             asked, of = [], []
             for i, (h, p) in enumerate(zip(hosts, paths)):
-                x = probes(h, p, lengths)
+                x = probes(h, p, lengths, longest)
                 asked += x
                 of += [i] * len(x)
             rule, verdict = [None] * len(hosts), [default] * len(hosts)
@@ -124,7 +125,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, defa
     index = DigestArray(rules)
     if len(index.blob) > broadcast_bytes:
         return _joined(rows, pages.sparkSession.createDataFrame(rules, "verdict string, rule string"), default)
-    return rows.mapInArrow(_judge(index.blob, index.lengths, default), "page_id long, host string, path string, rule string, verdict string")
+    return rows.mapInArrow(_judge(index.blob, index.lengths, index.longest, default), "page_id long, host string, path string, rule string, verdict string")
 
 
 def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
@@ -132,9 +133,13 @@ def _joined(rows: DataFrame, rules: DataFrame, default: str) -> DataFrame:
     host = lower_az(F.substring_index("rule", "/", 1))
     known = rules.where("rule is not null").select(F.concat(host, F.expr("substring(rule, length(substring_index(rule, '/', 1)) + 1)")).alias("rule"), "verdict")
     known = known.groupBy("rule").agg(F.max("verdict").alias("verdict")).withColumn("key", F.xxhash64("rule"))
-    lengths = known.select(F.expr("length(rule) - length(substring_index(rule, '/', 1))").alias("n")).distinct().agg(F.collect_set("n")).first()[0]
+    shape = known.select(F.expr("length(rule) - length(substring_index(rule, '/', 1))").alias("n"), F.expr("length(substring_index(rule, '/', 1))").alias("h"))
+    lengths, longest = shape.groupBy("n").agg(F.max("h").alias("h")).agg(F.collect_set("n"), F.max("h")).first()
     sites = rows.select("host", "path").distinct().where("host <> ''")
-    ends = F.expr("transform(sequence(0, size(split(host, '[.]')) - 1), i -> array_join(slice(split(host, '[.]'), i + 1, 10000), '.'))")
+    # The label borders in the part of the host that a rule's host could cover, and the suffix at each.
+    tail = F.expr(f"right(host, {(longest or 0) + 1})")
+    spots = F.filter(F.sequence(F.lit(1), F.length(tail)), lambda i: (F.substring(tail, i, F.lit(1)) == ".") | ((i == 1) & (F.length("host") <= (longest or 0))))
+    ends = F.transform(spots, lambda i: F.when((i == 1) & (F.substring(tail, i, F.lit(1)) != "."), F.col("host")).otherwise(F.substring(tail, i + 1, F.length(tail))))
     asked = sites.withColumn("end", F.explode(ends)).where("end <> ''").withColumn("n", F.explode(F.array([F.lit(x) for x in sorted(lengths)])) if lengths else F.lit(0))
     asked = asked.where("n <= length(path)").withColumn("probe", F.expr("concat(end, substring(path, 1, n))")).withColumn("key", F.xxhash64("probe"))
     hit = asked.join(known, "key").where("probe = rule").groupBy("host", "path").agg(F.max(F.struct(F.octet_length("rule"), "rule", "verdict")).alias("r"))

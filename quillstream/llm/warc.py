@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import setup, shared_dir, text_buffer
+from .common import hot_join, setup, shared_dir, text_buffer, written
 
 CRLF = b"\r\n"
 
@@ -80,26 +80,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     src.select("html").mapInArrow(_payloads, "address binary, payload binary").groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     rows = src.mapInArrow(_digests, "page_id long, url string, address binary, sha1 string, n long")
-    kept = rows.groupBy("address").agg(F.max("page_id").alias("keep"))
+    kept = written(rows.groupBy("address").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("records")), "kept")
     alone = (F.col("n") < min_bytes) | F.col("keep").isNull() | F.coalesce(F.col("page_id") == F.col("keep"), F.lit(False))
-    rows.join(kept, "address").select(
+    hot_join(rows, kept, "address", F.col("records")).select(
         "page_id", "url", "address", "sha1", "n", F.when(alone, "response").otherwise("revisit").alias("record_type"), F.when(~alone, F.col("keep")).alias("refers_to")
     ).mapInArrow(_headers(date), "address binary, header binary").write.parquet(f"{path}/headers")
 
 
-def _verified(batches):
-    unpack = zstandard.ZstdDecompressor()
-    for b in batches:
-        n, sha1 = [], []
-        for a, p in zip(b.column("address").to_pylist(), b.column("payload").to_pylist()):
-            p = unpack.decompress(p)
-            if hashlib.sha256(p).digest() != a:
-                raise ValueError(f"payload {a.hex()} does not match its address")
-            n.append(len(p))
-            sha1.append(b32sha1(p))
-        yield pa.RecordBatch.from_arrays([b.column("address"), pa.array(n, pa.int64()), pa.array(sha1, pa.string())], ["address", "payload_bytes", "payload_digest"])
-
-
 def fields(header: bytes) -> dict[str, str]:
     """The named fields of a record header."""
     lines = header.decode("utf-8", "replace").split("\r\n")
@@ -111,41 +98,58 @@ def _ids(urn: str | None):
     return None if x in ("", "null") else int(x)
 
 
-def _parsed(batches):
+def _rebuilt(batches):
+    """The record bytes of each header and payload; the payload must match its address."""
+    unpack = zstandard.ZstdDecompressor().decompress
     for b in batches:
-        cols = [[], [], [], [], []]
-        for h in b.column("header").to_pylist():
-            f = fields(h)
-            for c, v in zip(cols, (_ids(f["warc-record-id"]), f.get("warc-target-uri"), f["warc-type"], f["warc-payload-digest"].removeprefix("sha1:"), _ids(f.get("warc-refers-to")))):
-                c.append(v)
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([b.column("address"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["address", "page_id", "url", "record_type", "said", "refers_to"])
+        records, bodies, known = [], [], (None, b"")
+        for a, h, p in zip(*(b.column(c).to_pylist() for c in ("address", "header", "payload"))):
+            if a != known[0]:  # records of one payload mostly follow each other
+                known = a, unpack(p)
+                if hashlib.sha256(known[1]).digest() != a:
+                    raise ValueError(f"payload {a.hex()} does not match its address")
+            records.append(h + (known[1] if fields(h)["warc-type"] == "response" else b"") + CRLF + CRLF)
+            bodies.append(known[1])
+        ids = [_ids(fields(h)["warc-record-id"]) for h in b.column("header").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(records, pa.binary()), pa.array(bodies, pa.binary())], ["page_id", "record", "payload"])
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, all digests verified."""
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record (the exact WARC record bytes) and payload (whole, also of revisits)."""
     setup(spark)
-    store = spark.read.parquet(f"{path}/payloads").mapInArrow(_verified, "address binary, payload_bytes long, payload_digest string")
-    heads = spark.read.parquet(f"{path}/headers").mapInArrow(_parsed, "address binary, page_id long, url string, record_type string, said string, refers_to long")
-    right = F.when(F.col("said") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record's payload digest does not match its payload")))
-    return heads.join(store, "address").select("page_id", "payload_bytes", right.cast("string").alias("payload_digest"), "record_type", "refers_to")
+    heads, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
+    whole = hot_join(heads, store, "address", heads.groupBy("address").agg(F.count(F.lit(1)).alias("n")))
+    return whole.select("address", "header", "payload").mapInArrow(_rebuilt, "page_id long, record binary, payload binary")
 
 
-def _unpacked(batches):
-    unpack = zstandard.ZstdDecompressor()
+def parse(record: bytes) -> tuple[dict[str, str], bytes]:
+    """Fields and block of a WARC record; its Content-Length must be that of the block."""
+    header, _, rest = record.partition(CRLF + CRLF)
+    named = fields(header)
+    block = rest[: -2 * len(CRLF)]
+    if int(named["content-length"]) != len(block) or not rest.endswith(CRLF + CRLF):
+        raise ValueError(f"record {named['warc-record-id']} has {len(block)} bytes, not {named['content-length']}")
+    return named, block
+
+
+def _read(batches):
     for b in batches:
-        bodies = [unpack.decompress(p) for p in b.column("payload").to_pylist()]
-        heads = b.column("header").to_pylist()
-        kinds = [fields(h)["warc-type"] for h in heads]
-        whole = [h + (p if k == "response" else b"") + CRLF + CRLF for h, p, k in zip(heads, bodies, kinds)]
-        ids = [_ids(fields(h)["warc-record-id"]) for h in heads]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary()), pa.array(bodies, pa.binary())], ["page_id", "record", "payload"])
+        cols = [[], [], [], [], []]
+        for record, payload in zip(b.column("record").to_pylist(), b.column("payload").to_pylist()):
+            named, block = parse(record)
+            said, kind = named["warc-payload-digest"].removeprefix("sha1:"), named["warc-type"]
+            if b32sha1(payload) != said or (kind == "response" and block != payload):
+                raise ValueError(f"record {named['warc-record-id']} does not hold the payload it names")
+            for c, v in zip(cols, (_ids(named["warc-record-id"]), len(payload), said, kind, _ids(named.get("warc-refers-to")))):
+                c.append(v)
+        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record (the exact WARC record bytes) and payload (whole, also of revisits)."""
-    setup(spark)
-    return spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads"), "address").select("header", "payload").mapInArrow(_unpacked, "page_id long, record binary, payload binary")
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the rebuilt record
+    bytes; addresses, payload digests and lengths are verified."""
+    return reconstruct(spark, path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 SQL = """

@@ -239,14 +239,59 @@ def test_url_rules(spark):
         assert [got[i] for i in range(len(urls))] == want
 
 
+def test_long_hosts_give_few_probes(spark):
+    host = ".".join(["a"] * 20_000) + ".example.com"
+    assert len(url_filter.probes(host, "/en/7", [4, 5], 11)) == 4 and url_filter.probes("xcom", "/en/", [4], 3) == [] == url_filter.probes("", "/en/", [4], 3)
+    pages = spark.createDataFrame([(1, f"http://{host}/en/7"), (2, "http://com/en/")], "page_id long, url string")
+    for limit in (1 << 20, 0):
+        got = {r.page_id: r.rule for r in url_filter.filter_urls(pages, url_filter.RULES, broadcast_bytes=limit).collect()}
+        assert got == {1: "example.com/en/7", 2: "com/en/"}
+    assert url_filter.filter_urls(pages.limit(0), url_filter.RULES).count() == 0
+
+
 def test_warc_round_trip(spark):
-    html = ["a", None, "a", "", "ü" * 5000]
-    pages = spark.createDataFrame([(i, f"http://h/{i}" if i else None, h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    html = ["a", None, "a", "", "ü" * 5000, "a\r\n\r\nb\r\n\r\n", *["common"] * 2500]
+    pages = spark.createDataFrame([(i, f"http://h/{i}\r\n" if i else None, h) for i, h in enumerate(html)], "page_id long, url string, html string")
     path = shared_dir(spark, "w")
     warc.write_archive(pages, path)
     got = {r.page_id: r for r in warc.read_archive(spark, path).collect()}
-    assert [got[i].record_type for i in range(5)] == ["revisit", "revisit", "response", "response", "response"] and got[0].refers_to == 2
-    assert {r.page_id: r.payload.decode() for r in warc.reconstruct(spark, path).collect()} == {i: h or "" for i, h in enumerate(html)}
+    assert [got[i].record_type for i in range(6)] == ["revisit", "revisit", "response", "response", "response", "response"] and got[0].refers_to == 2
+    assert len(got) == len(html) and got[6].refers_to == len(html) - 1
+    records = {r.page_id: r for r in warc.reconstruct(spark, path).collect()}
+    assert {i: r.payload.decode() for i, r in records.items()} == {i: h or "" for i, h in enumerate(html)}
+    named, block = warc.parse(records[5].record)
+    assert block == html[5].encode() and named["warc-target-uri"] == "http://h/5%0D%0A" and warc.parse(records[0].record)[1] == b""
+    with pytest.raises(ValueError):
+        warc.parse(records[5].record.replace(b"Content-Length: 10", b"Content-Length: 9"))
+    warc.write_archive(pages.limit(0), path := shared_dir(spark, "w"))
+    assert warc.read_archive(spark, path).count() == 0
+
+
+def test_language_of_five_languages(spark):
+    """Learned codes tell invented languages apart on held-out texts."""
+    rng = np.random.default_rng(2)
+    parts = [["the", "ing", "th", "er"], ["sch", "ung", "ein", "ch"], ["eau", "tion", "le", "é"], ["ción", "ñ", "que", "ar"], ["ssä", "kk", "tt", "inen"]]
+    word = lambda k: "".join(rng.choice(parts[k], int(rng.integers(1, 4))))
+    rows = [(i, " ".join(word(i % 5) for _ in range(30)), f"l{i % 5}") for i in range(600)]
+    rows += [(1000, " ".join(word(j % 2) for j in range(400)), None), (1001, "1 2", "l1"), (1002, None, "l1"), (None, rows[0][1], "l0"), (1003, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"lang_pred": F.lit("?"), "score": F.lit("?")})
+    got = {r.doc_id: r for r in langid.identify(df).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert all(got[i].held_out == (i in set(held)) for i in range(600))
+    assert np.mean([got[i].lang_pred == f"l{i % 5}" for i in held]) >= 0.95 and min(r.score for r in got.values()) >= 0 and max(r.score for r in got.values()) <= 1
+    assert got[1000].lang_pred in ("l0", "l1") and not got[5].ambiguous and got[1003].score < 1
+    # The flag is the margin between the two nearest codewords.
+    assert all(r.ambiguous for r in langid.identify(df, margin=1.1).collect()) and not any(r.ambiguous for r in langid.identify(df, margin=0.0).collect() if r.lang_pred != "und")
+    assert got[1001].lang_pred == "und" == got[1002].lang_pred and got[None].lang_pred == "l0"
+    # The labels of held-out rows are not learned from.
+    turned = df.withColumn("lang", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, "l0").otherwise(F.col("lang")))
+    assert {r.doc_id: r.lang_pred for r in langid.identify(turned).collect()} == {i: r.lang_pred for i, r in got.items()}
+
+
+def test_empty_tables(spark):
+    none = docs(spark, []).withColumns({"block": F.lit(1), "key": F.lit(1), "bucket": F.lit(1), "at": F.lit(1)})
+    assert suffix_dedup.remove_repeats(none).count() == 0 and minhash_dedup.near_dedup(none).count() == 0 and exact_dedup.exact_dedup(none).count() == 0
+    assert langid.identify(none).count() == 0 and mixing.mix(none).count() == 0 and packing.pack(none).count() == 0
 
 
 def brute_links(ids, x, threshold=0.95):
