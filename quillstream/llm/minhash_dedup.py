@@ -289,8 +289,9 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     rowset = classes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))
     members = written(_shared(rowset), "members")
     asked = members.select("doc_id").distinct()
-    # Packed before the join: texts travel as compressed words, and sets are made where they are compared.
-    packed = written(src.mapInArrow(_pack, "doc_id long, words binary").where("words is not null").join(asked, "doc_id", "left_semi"), "packed")
+    # Packed before the join: texts travel as compressed words, and sets are made where they are compared. The ids asked
+    # for grow with the table, so they are never broadcast: the plan is the same at every size.
+    packed = written(src.mapInArrow(_pack, "doc_id long, words binary").where("words is not null").join(asked.hint("merge"), "doc_id", "left_semi"), "packed")
     # Every bucket's documents against its smallest one.
     top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
     pairs = hot_join(members, written(top, "tops"), "bucket", F.col("m")).where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")

@@ -114,12 +114,16 @@ def _rebuilt(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(records, pa.binary()), pa.array(bodies, pa.binary())], ["page_id", "record", "payload"])
 
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record (the exact WARC record bytes) and payload (whole, also of revisits)."""
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """address, header, payload of every record."""
     setup(spark)
     heads, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    whole = hot_join(heads, store, "address", heads.groupBy("address").agg(F.count(F.lit(1)).alias("n")))
-    return whole.select("address", "header", "payload").mapInArrow(_rebuilt, "page_id long, record binary, payload binary")
+    return hot_join(heads, store, "address", heads.groupBy("address").agg(F.count(F.lit(1)).alias("n"))).select("address", "header", "payload")
+
+
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record (the exact WARC record bytes) and payload (whole, also of revisits)."""
+    return _whole(spark, path).mapInArrow(_rebuilt, "page_id long, record binary, payload binary")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -133,7 +137,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _read(batches):
-    for b in batches:
+    for b in _rebuilt(batches):
         cols = [[], [], [], [], []]
         for record, payload in zip(b.column("record").to_pylist(), b.column("payload").to_pylist()):
             named, block = parse(record)
@@ -149,7 +153,7 @@ def _read(batches):
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, read from the rebuilt record
     bytes; addresses, payload digests and lengths are verified."""
-    return reconstruct(spark, path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _whole(spark, path).mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 SQL = """
