@@ -31,10 +31,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, is computed once.
+
+    narrow: rows are a few numbers, so at most four files a core are written instead of one per shuffle partition.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    if narrow:
+        df = df.coalesce(max(8, 4 * spark.sparkContext.defaultParallelism))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -142,7 +147,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(df):
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    links = written(tidy(edges), "links")
+    links = written(tidy(edges), "links", narrow=True)
     was, now = None, mark(links)
     while was != now:
         both = links.union(links.select("b", "a"))
@@ -152,7 +157,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         pairs = large.join(low, "a")
         small = pairs.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        links = written(tidy(small), "links")
+        links = written(tidy(small), "links", narrow=True)
         was, now = now, mark(links)
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

@@ -201,11 +201,11 @@ def embedding_dedup(vectors: DataFrame, threshold: float = 0.95, tile: int = 32_
     found = written(found, "links")
     links = found.where("other is null").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
     part = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    named = written(part.join(reps.select("node", "low"), "node"), "parts")
-    lowest = written(named.groupBy("component").agg(F.min("low").alias("c"), F.count(F.lit(1)).alias("size")), "lowest")
+    named = written(part.join(reps.select("node", "low"), "node"), "parts", narrow=True)
+    lowest = written(named.groupBy("component").agg(F.min("low").alias("c"), F.count(F.lit(1)).alias("size")), "lowest", narrow=True)
     named = hot_join(named.select("node", "component"), lowest, "component", F.col("size")).select("node", "c")
     info = reps.select("key", "node", "low", "mult").join(links, "node", "left").join(named, "node", "left")
-    info = written(info.select("key", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "low").alias("c")), "info")
+    info = written(info.select("key", "mult", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("c", "low").alias("c")), "info", narrow=True)
     out = hot_join(rows.select("vec_id", "key"), info, "key", F.col("mult"), "left")
     comp = F.coalesce("c", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))

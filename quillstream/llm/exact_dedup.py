@@ -4,7 +4,8 @@ Documents are equal when their texts agree after lower-casing A-Z. Map side: eve
 strings into compressed radix tries, one per (length, slice of the content hash); a terminal holds the smallest
 and the largest identifier and the number of rows. Above ``buffer_bytes`` the largest subtrees are spilled as
 partial rows. Partials are shuffled by (length, content hash) and meet in a second trie per such key, so a text
-that fills a third of the table arrives as a few rows per map task. Owners are joined back by SHA-256.
+that fills a third of the table arrives as a few rows per map task. Owners are joined back by SHA-256;
+adaptive execution splits the rows of a frequent text, as nothing but the join follows in that stage.
 
 Null and empty texts are the same (empty) text. Rows with a null doc_id count in group_size and never stay;
 a group of only such rows has keep_id null. Repeated rows of the doc_id that stays are all marked kept.
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_join, setup, text_buffer, written
+from .common import setup, text_buffer
 
 PARTIAL = "length long, hash long, text binary, low long, high long, n long"
 OWNERS = "text_sha256 string, low long, high long, group_size long"
@@ -190,9 +191,9 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", buffer_bytes: int = 24 <
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     partial = src.mapInArrow(lambda it: _partials(it, buffer_bytes, slices), PARTIAL)
     owners = partial.repartition("length", "hash").sortWithinPartitions("length", "hash").mapInArrow(_merge, OWNERS)
-    owner = written(owners.select("text_sha256", F.col("high" if keep == "largest" else "low").alias("keep_id"), "group_size"), "owners")
+    owner = owners.select("text_sha256", F.col("high" if keep == "largest" else "low").alias("keep_id"), "group_size")
     rows = src.mapInArrow(_digests, "doc_id long, text_sha256 string")
-    return hot_join(rows, owner, "text_sha256", F.col("group_size")).select(
+    return rows.join(owner, "text_sha256").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256"
     )
 

@@ -225,16 +225,16 @@ def _shared(rowset: DataFrame) -> DataFrame:
     """The rows of buckets with several members; buckets with the same members are one (count, ends, sums of hashes)."""
     sums = [F.sum(F.shiftright(F.xxhash64("doc_id", F.lit(s)), 24)).alias(f"f{s}") for s in (1, 2)]
     found = rowset.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), *sums)
-    found = written(found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets")
+    found = written(found.where("lo <> hi").groupBy("m", "lo", "hi", "f1", "f2").agg(F.min("bucket").alias("bucket")).select("bucket", "m"), "buckets", narrow=True)
     return hot_join(rowset, found, "bucket", F.col("m")).drop("m")
 
 
 def _open(members: DataFrame, part: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, with their component as part."""
     rows = members.join(part.select(F.col("node").alias("doc_id"), F.col("component").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
-    rows = written(rows, "parted")
+    rows = written(rows, "parted", narrow=True)
     mixed = rows.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count(F.lit(1)).alias("m")).where("x <> y")
-    return hot_join(rows, written(mixed.select("bucket", "m"), "mixed"), "bucket", F.col("m")).drop("m")
+    return hot_join(rows, written(mixed.select("bucket", "m"), "mixed", narrow=True), "bucket", F.col("m")).drop("m")
 
 
 def _tiles(live: DataFrame, packed: DataFrame, k: int, percent: int, tile: int) -> DataFrame:
@@ -243,10 +243,10 @@ def _tiles(live: DataFrame, packed: DataFrame, k: int, percent: int, tile: int)
     Documents outside a bucket's largest component are asked against all its others, in tiles of about tile by
     four tiles documents, so a bucket of any size is spread over tasks; only links leave a tile.
     """
-    live = written(live.select("bucket", "doc_id", "part"), "live")
+    live = written(live.select("bucket", "doc_id", "part"), "live", narrow=True)
     count = live.groupBy("bucket", "part").agg(F.count(F.lit(1)).alias("m")).groupBy("bucket").agg(F.sum("m").alias("m"), F.max(F.struct("m", "part")).alias("x"))
     count = count.select("bucket", F.col("x.part").alias("main"), F.expr(f"cast(ceil(m / {4 * tile}) as int)").alias("across"), F.expr(f"cast(ceil((m - x.m) / {tile}) as int)").alias("down"), F.col("m").alias("size"))
-    rows = hot_join(live, written(count, "tiles"), "bucket", F.col("size")).drop("size")
+    rows = hot_join(live, written(count, "tiles", narrow=True), "bucket", F.col("size")).drop("size")
     lot = F.shiftrightunsigned(F.xxhash64("doc_id"), 1)
     members = rows.select("bucket", "doc_id", F.lit(False).alias("asks"), F.explode(F.expr("sequence(0, down - 1)")).alias("i"), (lot % F.col("across")).cast("int").alias("j"))
     askers = rows.where("part <> main").select("bucket", "doc_id", F.lit(True).alias("asks"), (lot % F.col("down")).cast("int").alias("i"), F.explode(F.expr("sequence(0, across - 1)")).alias("j"))
@@ -287,27 +287,27 @@ def near_dedup(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int
     classes = signed.where("key is not null and doc_id is not null").groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "codes")).alias("r"), F.count(F.lit(1)).alias("rows")).select("key", "rows", "r.*")
     classes = written(classes, "classes")
     rowset = classes.select("doc_id", "n_shingles", F.explode("codes").alias("bucket"))
-    members = written(_shared(rowset), "members")
+    members = written(_shared(rowset), "members", narrow=True)
     asked = members.select("doc_id").distinct()
     # Packed before the join: texts travel as compressed words, and sets are made where they are compared. The ids asked
     # for grow with the table, so they are never broadcast: the plan is the same at every size.
     packed = written(src.mapInArrow(_pack, "doc_id long, words binary").where("words is not null").join(asked.hint("merge"), "doc_id", "left_semi"), "packed")
     # Every bucket's documents against its smallest one.
     top = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "n_shingles")).alias("c"), F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("c.doc_id").alias("b"), F.col("c.n_shingles").alias("nb"))
-    pairs = hot_join(members, written(top, "tops"), "bucket", F.col("m")).where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
+    pairs = hot_join(members, written(top, "tops", narrow=True), "bucket", F.col("m")).where(f"doc_id <> b and 100 * least(n_shingles, nb) >= {percent} * greatest(n_shingles, nb)")
     pairs = pairs.select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
     both = pairs.join(packed.withColumnsRenamed({"doc_id": "a", "words": "wa"}), "a").join(packed.withColumnsRenamed({"doc_id": "b", "words": "wb"}), "b")
     links = written(both.select("a", "b", "wa", "wb").mapInArrow(_confirm(shingle, percent), "a long, b long"), "links")
-    part = written(components(links), "parts")
+    part = written(components(links), "parts", narrow=True)
     left = _open(members, part)
     # What stars leave apart: documents that share much but may not be alike. Stricter bands on further coordinates.
     few = written(left.groupBy("doc_id").agg(F.first("part").alias("part")).join(packed, "doc_id"), "few")
     codes = few.mapInArrow(_strict(shingle, strict_bands, strict_rows, bands * rows), "doc_id long, codes array<long>")
     fresh = written(_shared(codes.select("doc_id", F.explode("codes").alias("bucket"))), "strict")
     links = links.union(_tiles(_open(fresh, part), few, shingle, percent, tile))
-    part = written(components(links), "parts")
+    part = written(components(links), "parts", narrow=True)
     rep = classes.select("key", "rows", F.col("doc_id").alias("node"))
-    rep = written(rep.join(part, "node", "left").select("key", "rows", F.coalesce("component", "node").alias("c")), "classes")
+    rep = written(rep.join(part, "node", "left").select("key", "rows", F.coalesce("component", "node").alias("c")), "classes", narrow=True)
     out = hot_join(signed.select("doc_id", "n_shingles", "key"), rep, "key", F.col("rows"), "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id"))
     return out.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(False)).alias("kept"))

@@ -1,8 +1,9 @@
 """Content-addressed web archive.
 
 Payload bytes are stored once per strong digest (SHA-256, verified when written and when read); exact WARC record
-headers are kept in a table of their own; original records come back through joins. Of records with equal payloads
-of at least ``min_bytes`` the one with the largest page_id is a ``response``, the others are ``revisit`` records.
+headers are kept in a table of their own; original records come back through joins, in which adaptive execution splits
+the records of a frequent payload. Of records with equal payloads of at least ``min_bytes`` the one with the largest
+page_id is a ``response``, the others are ``revisit`` records.
 
 Null html is an empty payload; a null url leaves WARC-Target-URI out. Rows with a null page_id are archived under
 the id ``null`` and never chosen as response unless all their copies are null. Repeated rows of the response's
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_join, setup, shared_dir, text_buffer, written
+from .common import setup, shared_dir, text_buffer
 
 CRLF = b"\r\n"
 
@@ -80,9 +81,9 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     src.select("html").mapInArrow(_payloads, "address binary, payload binary").groupBy("address").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
     rows = src.mapInArrow(_digests, "page_id long, url string, address binary, sha1 string, n long")
-    kept = written(rows.groupBy("address").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("records")), "kept")
+    kept = rows.groupBy("address").agg(F.max("page_id").alias("keep"))
     alone = (F.col("n") < min_bytes) | F.col("keep").isNull() | F.coalesce(F.col("page_id") == F.col("keep"), F.lit(False))
-    hot_join(rows, kept, "address", F.col("records")).select(
+    rows.join(kept, "address").select(
         "page_id", "url", "address", "sha1", "n", F.when(alone, "response").otherwise("revisit").alias("record_type"), F.when(~alone, F.col("keep")).alias("refers_to")
     ).mapInArrow(_headers(date), "address binary, header binary").write.parquet(f"{path}/headers")
 
@@ -117,8 +118,7 @@ def _rebuilt(batches):
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     """address, header, payload of every record."""
     setup(spark)
-    heads, store = spark.read.parquet(f"{path}/headers"), spark.read.parquet(f"{path}/payloads")
-    return hot_join(heads, store, "address", heads.groupBy("address").agg(F.count(F.lit(1)).alias("n"))).select("address", "header", "payload")
+    return spark.read.parquet(f"{path}/headers").join(spark.read.parquet(f"{path}/payloads"), "address").select("address", "header", "payload")
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
