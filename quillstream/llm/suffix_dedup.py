@@ -10,9 +10,13 @@ common anchor can be equal. Consecutive strings with one anchor form a segment.
    again in runs of a few strings, keyed by the bytes common to the run, and most are settled or unique now. Of the
    runs whose key still has several contents the blocks send every run's text once, with the smallest doc_id; a bucket
    sorts the strings in them as suffixes, deep-shallow: multikey quicksort over 8-byte symbols to a shallow depth, then
-   blind tries for the groups that still share a prefix. Equal strings meet on whole bytes.
+   blind tries for the groups that still share a prefix. Equality there is that of whole bytes.
 3. The blocks mark the repeated strings and return what is left.
 
+Steps 1 and 2 take anchors and runs of strings for equal by 112 bits of hashes; the sorted strings are named to the
+blocks by 128 bits of hashes. Every block that holds a passage sends one entry for each of its anchors, so the entries
+of a very frequent passage grow with the number of blocks.
+
 All steps read one shuffle of the compressed text. A null doc_id is larger than any other and is returned as null; rows
 with equal doc_id never count as earlier for one another. Null text is empty; texts under ``width`` bytes stay whole.
 An empty table gives an empty result; other columns are ignored.
@@ -157,14 +161,14 @@ def _runs(raw, doc, s, e, place, h, mine, width):
     return doc[seg], a, z, key, digest | U(1)
 
 
-def _hashes(raw, at, width):
+def _hashes(raw, at, width, seed: int = 7):
     """Hashes of the width bytes at each place, the same wherever they stand."""
     view = np.lib.stride_tricks.sliding_window_view(raw, width) if len(raw) >= width else np.zeros((0, width), np.uint8)
     h = np.zeros(len(at), np.uint64)
     for k in range(0, len(at), 1 << 16):
         x = view[at[k : k + (1 << 16)]]
         words = np.concatenate([x, np.zeros((len(x), -width % 8), np.uint8)], 1).view(np.uint64)
-        v = np.full(len(x), 7, np.uint64)
+        v = np.full(len(x), seed, np.uint64)
         for c in range(words.shape[1]):
             v = _join(v, words[:, c] * _mix[2])
         h[k : k + (1 << 16)] = v
@@ -273,6 +277,28 @@ def _known(replies, kind):
     return np.unique(np.frombuffer(b"".join(got), np.uint64))
 
 
+def _pairs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Two hashes as one 16-byte value."""
+    return np.ascontiguousarray(np.stack([h, g], 1)).view("V16").ravel()
+
+
+def _holds(replies, kind, h, g) -> np.ndarray:
+    """Which of the pairs (h, g) the replies of the kind name."""
+    got = [x for k, x in zip(replies.column("kind").to_pylist(), replies.column("v").to_pylist()) if k == kind]
+    known = np.frombuffer(b"".join(got), np.uint64).reshape(-1, 2)
+    known = known[np.lexsort((known[:, 1], known[:, 0]))]
+    at, found = np.searchsorted(known[:, 0], h), np.zeros(len(h), bool)
+    asked = np.arange(len(h))
+    while len(asked):  # pairs with the same first hash stand together
+        asked = asked[at[asked] < len(known)]
+        asked = asked[known[at[asked], 0] == h[asked]]
+        same = known[at[asked], 1] == g[asked]
+        found[asked[same]] = True
+        asked = asked[~same]
+        at[asked] += 1
+    return found
+
+
 def _within(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(x), bool)
@@ -280,18 +306,21 @@ def _within(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 
 def _strings(raw, doc, s, e, mine, width):
-    """Places, documents and hashes of all strings of the runs marked mine."""
+    """Places, documents and two hashes of all strings of the runs marked mine."""
     n = e[mine] - s[mine] + 1
     at = ragged(s[mine], n)
-    return at, np.repeat(doc[mine], n), _hashes(raw, at, width)
+    return at, np.repeat(doc[mine], n), _hashes(raw, at, width), _hashes(raw, at, width, 11)
 
 
-def _smallest(h, owner):
-    """Distinct hashes, one place of each, the smallest owner of each, and the number of each string's hash."""
-    uniq, one, inv = np.unique(h, return_index=True, return_inverse=True)
-    least = np.full(len(uniq), LAST)
+def _smallest(h, g, owner):
+    """Of the distinct pairs (h, g) one place and the smallest owner of each, and the number of each row's pair."""
+    order = np.lexsort((g, h))
+    new = np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(g[order]) != 0)]) if len(h) else np.zeros(0, bool)
+    inv = np.zeros(len(h), np.int64)
+    inv[order] = np.cumsum(new) - 1
+    least = np.full(int(new.sum()), LAST)
     np.minimum.at(least, inv, owner)
-    return uniq, one, inv, least
+    return order[new], inv, least
 
 
 def _suffixes(width, buckets):
@@ -307,10 +336,10 @@ def _suffixes(width, buckets):
         doc, s, e, place, uniq, inv, _, _ = _anchors(raw, off, ids, width)
         doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
         few = _within(key, _known(replies, 5))
-        at, owner, h = _strings(raw, doc, s, e, _within(key, _known(replies, 6)), width)
-        key, dg = np.concatenate([key[few], h]), np.concatenate([dg[few], h])
+        at, owner, h, g = _strings(raw, doc, s, e, _within(key, _known(replies, 6)), width)
+        key, dg = np.concatenate([key[few], h]), np.concatenate([dg[few], g])
         s, e, doc = np.concatenate([s[few], at]), np.concatenate([e[few], at]), np.concatenate([doc[few], owner])
-        _, one, _, least = _smallest(_join(key, dg), ids[doc])
+        one, _, least = _smallest(key, dg, ids[doc])
         size = e[one] - s[one] + width
         text = np.zeros((len(one), width + RUN), np.uint8)
         text[np.repeat(np.arange(len(one)), size), ragged(np.zeros_like(size), size)] = raw[ragged(s[one], size)]
@@ -321,21 +350,31 @@ def _suffixes(width, buckets):
 
 
 def multikey_quicksort(words: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the rows of words (8-byte symbols) by the first depth symbols."""
-    done, stack = [], [(np.arange(len(words)), 0)]
-    while stack:
-        rows, d = stack.pop()
-        if d == depth or len(rows) < 2:
-            done.append(rows)
-            continue
-        x = words[rows, d]
-        if len(rows) < 4096:
-            keys = tuple(words[rows, c] for c in range(depth - 1, d - 1, -1))
-            done.append(rows[np.lexsort(keys)])
-            continue
-        pivot = np.partition(x[:: max(1, len(x) // 101)], 50 if len(x) > 101 else 0)[50 if len(x) > 101 else 0]
-        stack += [(rows[x > pivot], d), (rows[x == pivot], d + 1), (rows[x < pivot], d)]
-    return np.concatenate(done) if done else np.zeros(0, np.int64)
+    """Order of the rows of words (8-byte symbols) by the first depth symbols.
+
+    All groups are parted at once: each by its own pivot, the middle one of three of its symbols, into smaller, equal
+    and larger rows, of which the equal ones go on to the next symbol.
+    """
+    order = np.arange(len(words))
+    at = np.zeros(min(len(words), 1), np.int64)  # where the groups that are not in order yet start, how long they are, and their symbol
+    size, symbol = np.full(len(at), len(words)), np.zeros(len(at), np.int64)
+    while True:
+        open_ = (size > 1) & (symbol < depth)
+        at, size, symbol = at[open_], size[open_], symbol[open_]
+        if not len(at):
+            return order
+        places = ragged(at, size)
+        group = np.repeat(np.arange(len(at)), size)
+        x = words[order[places], symbol[group]]
+        first = np.cumsum(size) - size
+        low, mid, high = (x[first + k] for k in (0 * size, size // 2, size - 1))
+        pivot = np.maximum(np.minimum(low, mid), np.minimum(np.maximum(low, mid), high))[group]
+        part = group * 3 + (x >= pivot) + (x > pivot)
+        moved = np.argsort(part, kind="stable")
+        order[places] = order[places[moved]]
+        number = np.bincount(part, minlength=3 * len(at))
+        at = np.repeat(at, 3) + (np.cumsum(number) - number - np.repeat(first, 3))
+        size, symbol = number, np.repeat(symbol, 3) + np.tile([0, 1, 0], len(symbol))
 
 
 class BlindTrie:
@@ -417,7 +456,7 @@ def _sorted_groups(width):
         n = runs[:, -1].astype(np.int64)
         row = np.repeat(np.arange(len(n)), n)
         text = np.lib.stride_tricks.sliding_window_view(runs, width, 1)[row, ragged(np.zeros_like(n), n)]
-        h, least, block = _hashes(text.ravel(), np.arange(len(text)) * width, width), least[row], block[row]
+        least, block = least[row], block[row]
         order, group = deep_shallow(text)
         first = np.full(group[-1] + 1 if len(group) else 0, LAST)
         np.minimum.at(first, group, least[order])
@@ -426,7 +465,9 @@ def _sorted_groups(width):
         order, group = order[at], group[at]
         lead = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(block[order]) != 0)]) if len(order) else np.zeros(0, bool)
         rows = order[lead & (least[order] > first[group])]
-        return _replies(block[rows], np.full(len(rows), 3), h[rows])
+        flat = text[rows].ravel()
+        h, g = (_hashes(flat, np.arange(len(rows)) * width, width, seed) for seed in (7, 11))
+        return _replies(block[rows], np.full(len(rows), 3), _pairs(h, g))
 
     return run
 
@@ -454,9 +495,9 @@ def _finish(width, with_text: bool):
         gone = ~several & (_within(uniq, _known(replies, 4))[inv] | (ids[doc] > least[inv]))
         np.add.at(step, s[gone], 1)
         np.add.at(step, e[gone] + width, -1)
-        at, owner, h = _strings(raw, doc, s, e, several, width)
-        uniq_h, _, inv_h, least_h = _smallest(h, ids[owner])
-        later = _within(uniq_h, _known(replies, 3))[inv_h] | (ids[owner] > least_h[inv_h])
+        at, owner, h, g = _strings(raw, doc, s, e, several, width)
+        one, inv, least = _smallest(h, g, ids[owner])
+        later = _holds(replies, 3, h[one], g[one])[inv] | (ids[owner] > least[inv])
         np.add.at(step, at[later], 1)
         np.add.at(step, at[later] + width, -1)
         out = np.cumsum(step[:-1]) > 0

@@ -39,6 +39,34 @@ def test_suffix_dedup_equals_brute_force(spark):
         assert tuple(got[i])[1:] == (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 20_000])
+def test_multikey_quicksort_sorts(n):
+    rng = np.random.default_rng(n)
+    x = rng.integers(0, 40, (n, 3)).astype(np.uint64)
+    order = suffix_dedup.multikey_quicksort(x, 2)
+    assert sorted(order.tolist()) == list(range(n))
+    rows = [tuple(r) for r in x[order][:, :2].tolist()]
+    assert rows == sorted(rows)
+
+
+def test_hot_passages_equal_brute_force(spark):
+    """Passages in every block with different surroundings, copies, and periodic texts."""
+    rng = np.random.default_rng(8)
+    hot, other = prose(30, 70), prose(25, 71)
+    texts = [prose(int(rng.integers(1, 60)), 2000 + i) + (" " + hot) * (i % 3) + prose(int(rng.integers(0, 9)), 3000 + i) + (other if i % 2 else "") for i in range(150)]
+    texts += ["ab" * 200, "ab" * 90 + "c", "é" * 300, "é" * 25, texts[0], texts[1][3:], hot, hot[:49], hot[:50]]
+    got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.remove_repeats(docs(spark, texts)).collect()}
+    seen = {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for k in range(len(b) - 49):
+            if seen.setdefault(b[k : k + 50], i) < i:
+                gone[k : k + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        assert got[i] == (len(b), sum(gone), len([x for x in bytes(gone).split(b"\0") if x]), hashlib.sha256(kept).hexdigest())
+
+
 def test_deep_shallow_sorts():
     rng = np.random.default_rng(0)
     x = rng.integers(97, 99, (400, 50)).astype(np.uint8)

@@ -59,3 +59,15 @@ def test_mixture_cuts_the_last_document(spark):
     assert sum(len(t.split()) for t in got.values()) == total * 8 // 10
     assert all(texts[k].startswith(t) and (t == texts[k] or not t[-1].isspace()) for k, t in got.items())
     assert any(t != texts[k] for k, t in got.items())
+
+
+def test_extra_columns_with_clashing_names_and_no_rows(spark, tmp_path):
+    names = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, held_out boolean, letters int, ambiguous string, keep_id long, kept string, __id long, tokens_taken long, n_tokens long, component_id string"
+    texts = [prose(60, k) for k in range(12)] + [prose(60, 0)]
+    rows = [(k, t, "en", "src1", len(t), "x", 1.0, True, 1, "a", 5, "k", 9, 1, 2, "c") for k, t in enumerate(texts)]
+    for some in (rows, []):
+        path = f"{tmp_path}/{len(some)}"
+        spark.createDataFrame(some, names).write.parquet(f"{path}/documents.parquet")
+        got = corpus_pipeline.run(spark, path)
+        assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert (got.count() > 0) == bool(some) and (0 not in {r.doc_id for r in got.collect()})
