@@ -74,6 +74,13 @@ def blocks_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
     return max(least, -(-size_hint(df) // bytes_each))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many lines below it as no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def lower_az(col):
     """Lower-cases A-Z only."""
     return F.translate(col, UPPER, LOWER)

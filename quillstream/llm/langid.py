@@ -148,24 +148,28 @@ def identify(docs: DataFrame, per_language: int = 700, margin: float = 0.2) -> D
     return src.select("doc_id", "text", "held_out").mapInArrow(_predict(langs, model, margin), "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def tagged(docs: DataFrame, per_language: int = 700, margin: float = 0.2) -> tuple[DataFrame, list[str]]:
-    """The rows of docs with lang_pred, score, ambiguous and letters (whether there are any), and the languages learned.
+def tagged(docs: DataFrame, names: list[str], per_language: int = 700, margin: float = 0.2) -> tuple[DataFrame, list[str]]:
+    """The rows of docs with four more columns, and the languages learned.
 
-    Row by row, without a join, so rows without doc_id or with a repeated one keep a prediction of their own.
+    names: what to call the predicted language, its score, whether it is ambiguous, and whether there are letters; no
+    column of docs. Row by row, without a join, so rows without doc_id or with a repeated one keep a prediction of
+    their own.
     """
     setup(docs.sparkSession)
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
-    langs, model = fit(docs.withColumn("held_out", held), per_language)
+    langs, model = fit(docs.select("doc_id", "text", "lang", held.alias("held_out")), per_language)
     predict = _predict(langs, model, margin)
 
     def run(batches):
         for b in batches:
-            letters = pa.array([bool(t and LETTER.search(t)) for t in b.column("text").to_pylist()], pa.bool_())
-            (got,) = predict([b])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *got.columns[2:], letters], [*b.schema.names[:-1], "lang_pred", "score", "ambiguous", "letters"])
+            texts = b.column("text").to_pylist()
+            letters = pa.array([bool(t and LETTER.search(t)) for t in texts], pa.bool_())
+            asked = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), letters], ["doc_id", "text", "held_out"])
+            (got,) = predict([asked])
+            yield pa.RecordBatch.from_arrays([*b.columns, *got.columns[2:], letters], [*b.schema.names, *names])
 
-    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in (("lang_pred", StringType()), ("score", DoubleType()), ("ambiguous", BooleanType()), ("letters", BooleanType())))])
-    return docs.withColumn("held_out", held).mapInArrow(run, schema), langs
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(names, (StringType(), DoubleType(), BooleanType(), BooleanType())))])
+    return docs.mapInArrow(run, schema), langs
 
 
 def op4_langid(spark, sf_dir: str) -> DataFrame:
