@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm import exact_dedup, langid, minhash_dedup, mixing, packing
-from quillstream.llm.common import written
+from quillstream.llm.common import unused, written
 
 
 #: Key of a row. It rises with doc_id, and rows without one come first.
@@ -31,8 +31,8 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 def _only(docs: DataFrame, key, keep: DataFrame) -> DataFrame:
     """The rows of docs whose key is among the doc_ids of keep."""
-    ids = keep.select(F.col("doc_id").alias("__id"))
-    return docs.join(ids, key == ids["__id"], "left_semi")
+    name = unused(docs, "__id")
+    return docs.join(keep.select(F.col("doc_id").alias(name)), key == F.col(name), "left_semi")
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,12 +43,13 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     lang becomes the predicted one also where it is not sure, but a text without lang whose prediction is ambiguous
     and scores below LEAST is rejected. Where nothing could be learned, texts with letters stay as they are.
     """
-    said, langs = langid.tagged(docs)
+    pred, score, unsure, letters = names = [unused(docs, f"__{n}") for n in ("pred", "score", "unsure", "letters")]
+    said, langs = langid.tagged(docs, names)
     fitted = F.lit(len(langs) > 1)
-    sure = fitted & (F.col("score") >= SURE) & ~F.col("ambiguous") & (F.col("lang").isNull() | F.col("lang").isin(langs))
-    unclear = fitted & F.col("lang").isNull() & F.col("ambiguous") & (F.col("score") < LEAST)
-    lang = F.when(sure, F.col("lang_pred")).otherwise(F.coalesce("lang", F.when(F.col("lang_pred") != "und", F.col("lang_pred"))))
-    return _numbered(said.where(F.col("letters") & ~unclear).withColumn("lang", lang).select(docs.columns))
+    sure = fitted & (F.col(score) >= SURE) & ~F.col(unsure) & (F.col("lang").isNull() | F.col("lang").isin(langs))
+    unclear = fitted & F.col("lang").isNull() & F.col(unsure) & (F.col(score) < LEAST)
+    lang = F.when(sure, F.col(pred)).otherwise(F.coalesce("lang", F.when(F.col(pred) != "und", F.col(pred))))
+    return _numbered(said.where(F.col(letters) & ~unclear).withColumn("lang", lang).select(docs.columns))
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,10 +74,11 @@ def _first_words(text, n):
 def mixture(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the mixture of four fifths of all tokens takes: of each leaf's last document the token prefix it grants."""
     taken = mixing.mix(docs, tenths=8, epochs=1, also=[ROW]).where("tokens_taken > 0")
-    taken = taken.select(F.col(ROW).alias("__id"), "n_tokens", "tokens_taken")
-    rows = docs.join(taken, F.col(ROW) == F.col("__id"))
-    cut = F.col("tokens_taken") < F.col("n_tokens")
-    rows = rows.withColumn("text", F.when(cut, _first_words(F.col("text"), F.col("tokens_taken"))).otherwise(F.col("text")))
+    key, held, given = (unused(docs, f"__{n}") for n in ("id", "held", "given"))
+    taken = taken.select(F.col(ROW).alias(key), F.col("n_tokens").alias(held), F.col("tokens_taken").alias(given))
+    rows = docs.join(taken, F.col(ROW) == F.col(key))
+    cut = F.col(given) < F.col(held)
+    rows = rows.withColumn("text", F.when(cut, _first_words(F.col("text"), F.col(given))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(cut & F.col("n_chars").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return rows.select(docs.columns)
