@@ -13,8 +13,8 @@ common anchor can be equal. Consecutive strings with one anchor form a segment.
    blind tries for the groups that still share a prefix. Equality there is that of whole bytes.
 3. The blocks mark the repeated strings and return what is left.
 
-Steps 1 and 2 take anchors and runs of strings for equal by 112 bits of hashes; the sorted strings are named to the
-blocks by 128 bits of hashes. Every block that holds a passage sends one entry for each of its anchors, so the entries
+Steps 1 and 2 take anchors and runs of strings for equal by 112 bits of hashes, and a block's own strings by 128; what
+is sorted is decided and answered without hashes. Every block that holds a passage sends one entry for each of its anchors, so the entries
 of a very frequent passage grow with the number of blocks.
 
 All steps read one shuffle of the compressed text. A null doc_id is larger than any other and is returned as null; rows
@@ -36,6 +36,8 @@ from .common import blocks_for, ragged, setup, text_buffer
 
 GRAM = 20
 RUN = 8
+#: Kinds of replies from here on are masks of the bucket whose number follows.
+MASK = 8
 #: Runs that more blocks share send their strings one by one, so no bucket gathers a frequent passage's surroundings.
 HOT = 256
 LAST = np.iinfo(np.int64).max
@@ -175,11 +177,16 @@ def _hashes(raw, at, width, seed: int = 7):
     return h
 
 
+def _deal(hashes: np.ndarray, owners: np.ndarray, buckets: int):
+    """Order of rows by bucket, runs of equal owners together as these shrink well in the shuffle, and the buckets' edges."""
+    b = ((hashes >> U(17)) % U(buckets)).astype(np.int64)
+    order = np.lexsort((owners, b))
+    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+
+
 def _dealt(block: int, hashes: np.ndarray, buckets: int, columns: list[np.ndarray]):
     """Rows (bucket, block, blobs) of columns, dealt by the hashes."""
-    b = ((hashes >> U(17)) % U(buckets)).astype(np.int64)
-    order = np.lexsort((columns[-1], b))  # runs of equal owners shrink well in the shuffle
-    edge = np.searchsorted(b[order], np.arange(buckets + 1))
+    order, edge = _deal(hashes, columns[-1], buckets)
     rows = [[], [], *([] for _ in columns)]
     for k in range(buckets):
         if edge[k] < edge[k + 1]:
@@ -277,28 +284,6 @@ def _known(replies, kind):
     return np.unique(np.frombuffer(b"".join(got), np.uint64))
 
 
-def _pairs(h: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Two hashes as one 16-byte value."""
-    return np.ascontiguousarray(np.stack([h, g], 1)).view("V16").ravel()
-
-
-def _holds(replies, kind, h, g) -> np.ndarray:
-    """Which of the pairs (h, g) the replies of the kind name."""
-    got = [x for k, x in zip(replies.column("kind").to_pylist(), replies.column("v").to_pylist()) if k == kind]
-    known = np.frombuffer(b"".join(got), np.uint64).reshape(-1, 2)
-    known = known[np.lexsort((known[:, 1], known[:, 0]))]
-    at, found = np.searchsorted(known[:, 0], h), np.zeros(len(h), bool)
-    asked = np.arange(len(h))
-    while len(asked):  # pairs with the same first hash stand together
-        asked = asked[at[asked] < len(known)]
-        asked = asked[known[at[asked], 0] == h[asked]]
-        same = known[at[asked], 1] == g[asked]
-        found[asked[same]] = True
-        asked = asked[~same]
-        at[asked] += 1
-    return found
-
-
 def _within(x: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     if not len(sorted_set):
         return np.zeros(len(x), bool)
@@ -323,6 +308,19 @@ def _smallest(h, g, owner):
     return order[new], inv, least
 
 
+def _listed(raw, doc, s, e, key, dg, few, hot, ids, width):
+    """What a block sends to be sorted: the distinct runs marked few and the strings of those marked hot, one by one.
+
+    (key, first start, last start, smallest doc_id) of each in an order that depends on contents only, the row of each
+    marked run, and the row of each string of the hot runs.
+    """
+    at, owner, h, g = _strings(raw, doc, s, e, hot, width)
+    key, dg = np.concatenate([key[few], h]), np.concatenate([dg[few], g])
+    s, e, doc = np.concatenate([s[few], at]), np.concatenate([e[few], at]), np.concatenate([doc[few], owner])
+    one, row, least = _smallest(key, dg, ids[doc])
+    return key[one], s[one], e[one], least, row[: int(few.sum())], row[int(few.sum()) :]
+
+
 def _suffixes(width, buckets):
     """The runs whose core has several contents, each as the one text that holds its strings, then their number.
 
@@ -335,16 +333,13 @@ def _suffixes(width, buckets):
         raw, off, ids = _block(docs)
         doc, s, e, place, uniq, inv, _, _ = _anchors(raw, off, ids, width)
         doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], _within(uniq, _known(replies, 2))[inv], width)
-        few = _within(key, _known(replies, 5))
-        at, owner, h, g = _strings(raw, doc, s, e, _within(key, _known(replies, 6)), width)
-        key, dg = np.concatenate([key[few], h]), np.concatenate([dg[few], g])
-        s, e, doc = np.concatenate([s[few], at]), np.concatenate([e[few], at]), np.concatenate([doc[few], owner])
-        one, _, least = _smallest(key, dg, ids[doc])
-        size = e[one] - s[one] + width
-        text = np.zeros((len(one), width + RUN), np.uint8)
-        text[np.repeat(np.arange(len(one)), size), ragged(np.zeros_like(size), size)] = raw[ragged(s[one], size)]
+        few, hot = _within(key, _known(replies, 5)), _within(key, _known(replies, 6))
+        key, s, e, least, _, _ = _listed(raw, doc, s, e, key, dg, few, hot, ids, width)
+        size = e - s + width
+        text = np.zeros((len(s), width + RUN), np.uint8)
+        text[np.repeat(np.arange(len(s)), size), ragged(np.zeros_like(size), size)] = raw[ragged(s, size)]
         text[:, -1] = size - width + 1
-        return _dealt(docs.column("block")[0].as_py(), key[one], buckets, [key[one], text.view(f"V{width + RUN}").ravel(), least])
+        return _dealt(docs.column("block")[0].as_py(), key, buckets, [key, text.view(f"V{width + RUN}").ravel(), least])
 
     return run
 
@@ -449,14 +444,17 @@ def deep_shallow(text: np.ndarray, shallow: int = 2) -> tuple[np.ndarray, np.nda
 
 
 def _sorted_groups(width):
+    """Answers each block with one byte a run, in the order it sent them: the strings that another block had earlier."""
+
     def run(table):
-        h, least = _stack(table, "a", np.uint64), _stack(table, "c", np.int64)
-        runs = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8).reshape(len(h), width + RUN)
-        block = np.repeat(table.column("block").to_numpy(), [len(x) // 8 for x in table.column("a").to_pylist()])
+        bucket = table.column("bucket")[0].as_py()
+        sent = [len(x) // 8 for x in table.column("a").to_pylist()]
+        least = _stack(table, "c", np.int64)
+        runs = np.frombuffer(b"".join(table.column("b").to_pylist()), np.uint8).reshape(len(least), width + RUN)
         n = runs[:, -1].astype(np.int64)
-        row = np.repeat(np.arange(len(n)), n)
-        text = np.lib.stride_tricks.sliding_window_view(runs, width, 1)[row, ragged(np.zeros_like(n), n)]
-        least, block = least[row], block[row]
+        row, spot = np.repeat(np.arange(len(n)), n), ragged(np.zeros_like(n), n)
+        text = np.lib.stride_tricks.sliding_window_view(runs, width, 1)[row, spot]
+        least, block = least[row], np.repeat(np.arange(len(sent)), sent)[row]
         order, group = deep_shallow(text)
         first = np.full(group[-1] + 1 if len(group) else 0, LAST)
         np.minimum.at(first, group, least[order])
@@ -464,10 +462,13 @@ def _sorted_groups(width):
         at = np.lexsort((least[order], block[order], group))
         order, group = order[at], group[at]
         lead = np.concatenate([[True], (np.diff(group) != 0) | (np.diff(block[order]) != 0)]) if len(order) else np.zeros(0, bool)
-        rows = order[lead & (least[order] > first[group])]
-        flat = text[rows].ravel()
-        h, g = (_hashes(flat, np.arange(len(rows)) * width, width, seed) for seed in (7, 11))
-        return _replies(block[rows], np.full(len(rows), 3), _pairs(h, g))
+        late = (least[order] > first[group])[lead][np.cumsum(lead) - 1]
+        mask = np.zeros(len(n), np.uint8)
+        np.bitwise_or.at(mask, row[order[late]], np.left_shift(1, spot[order[late]]).astype(np.uint8))
+        parts = np.split(mask, np.cumsum(sent)[:-1])
+        some = [k for k, m in enumerate(parts) if m.any()]
+        blocks = table.column("block").to_pylist()
+        return pa.table({"block": pa.array([blocks[k] for k in some], pa.int64()), "kind": pa.array([MASK + bucket] * len(some), pa.int64()), "v": pa.array([parts[k].tobytes() for k in some], pa.binary())})
 
     return run
 
@@ -475,7 +476,7 @@ def _sorted_groups(width):
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(width, with_text: bool):
+def _finish(width, buckets, with_text: bool):
     def run(docs, replies):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()] + [pa.binary()] * with_text
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
@@ -490,14 +491,28 @@ def _finish(width, with_text: bool):
         np.add.at(step, s[gone], 1)
         np.add.at(step, e[gone] + width, -1)
         doc, s, e, key, dg = _runs(raw, doc, s, e, place, uniq[inv], several, width)
+        few, hot = _within(key, _known(replies, 5)), _within(key, _known(replies, 6))
+        sent, _, _, owner, of_run, of_string = _listed(raw, doc, s, e, key, dg, few, hot, ids, width)
+        mask, (order, edge) = np.zeros(len(sent), np.uint8), _deal(sent, owner, buckets)
+        for kind, v in zip(replies.column("kind").to_pylist(), replies.column("v").to_pylist()):
+            if kind >= MASK:
+                mask[order[edge[kind - MASK] : edge[kind - MASK + 1]]] = np.frombuffer(v, np.uint8)
         uniq, inv, dg, least = _grouped(key, dg, ids[doc])
-        several = (_within(uniq, _known(replies, 5)) | _within(uniq, _known(replies, 6)) | (dg == 0))[inv]
+        several = few | hot | (dg == 0)[inv]
         gone = ~several & (_within(uniq, _known(replies, 4))[inv] | (ids[doc] > least[inv]))
         np.add.at(step, s[gone], 1)
         np.add.at(step, e[gone] + width, -1)
         at, owner, h, g = _strings(raw, doc, s, e, several, width)
-        one, inv, least = _smallest(h, g, ids[owner])
-        later = _holds(replies, 3, h[one], g[one])[inv] | (ids[owner] > least[inv])
+        _, inv, least = _smallest(h, g, ids[owner])
+        # Each string's bit in the mask of the row that it was sent in.
+        n = (e - s + 1)[several]
+        told = np.zeros(len(at), bool)
+        of = np.full(len(key), -1)
+        of[few] = of_run
+        row, spot = np.repeat(of[several], n), ragged(np.zeros_like(n), n)
+        told[row >= 0] = (mask[row[row >= 0]] >> spot[row >= 0].astype(np.uint8)) & 1
+        told[np.repeat(hot[several], n)] = mask[of_string] & 1
+        later = told | (ids[owner] > least[inv])
         np.add.at(step, at[later], 1)
         np.add.at(step, at[later] + width, -1)
         out = np.cumsum(step[:-1]) > 0
@@ -541,7 +556,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, block_bytes: int = 2 << 20,
     both = first.where("kind = 2").union(second.where("kind in (5, 6)"))
     third = by.cogroup(both.groupBy("block")).applyInArrow(_suffixes(width, buckets), dealt).groupBy("bucket").applyInArrow(_sorted_groups(width), reply)
     schema = RESULT + ", kept_text binary" * with_text
-    return src.groupBy("block").cogroup(first.union(second).union(third).groupBy("block")).applyInArrow(_finish(width, with_text), schema)
+    return src.groupBy("block").cogroup(first.union(second).union(third).groupBy("block")).applyInArrow(_finish(width, buckets, with_text), schema)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
