@@ -435,10 +435,10 @@ def _job_events(spark, d):
     return out
 
 
-@query("job_table", f"WITH {_JE} SELECT jb.id, jb.status, jb.stage, jb.progress, md5(coalesce(js.message, '')) AS error, jb.summary, floor(epoch(jb.expires_at))::BIGINT AS expires_at FROM jb LEFT JOIN js ON js.id = jb.id AND js.seq = jb.ms")
+@query("job_table", f"WITH {_JE} SELECT jb.id, jb.status, jb.stage, jb.progress, md5(coalesce(js.message, '')) AS error, jb.summary, strftime(jb.expires_at, '%Y-%m-%d %H:%M:%S') AS expires_at FROM jb LEFT JOIN js ON js.id = jb.id AND js.seq = jb.ms")
 def job_table(spark, d):
     rows = jobs.jobs(_job_events(spark, d))
-    return rows.select("id", "status", "stage", "progress", F.md5(F.coalesce("error_message", F.lit("")).cast("binary")).alias("error"), "summary", F.unix_timestamp("expires_at").alias("expires_at"))
+    return rows.select("id", "status", "stage", "progress", F.md5(F.coalesce("error_message", F.lit("")).cast("binary")).alias("error"), "summary", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
 
 
 @query("illegal_transitions", f"""WITH {_JE}, l AS (SELECT id, seq, lag(status) OVER (PARTITION BY id ORDER BY seq) AS before, status FROM js WHERE status IS NOT NULL)
