@@ -1,6 +1,7 @@
 """Page geometry: order-dependent steps on one page's rows at a time, and the page's gates and predicates as columns.
 
-A page's rows are gathered into an array, so one page must fit a task and pages spread over tasks whatever their number.
+A page's rows are sorted next to each other and stream through Python, so one page must fit a task and pages spread over
+tasks whatever their number. Rows that are already dealt out by the page's key are not shuffled again.
 Null texts count as empty. Rows with equal sort keys keep the order of ``seq``.
 """
 
@@ -8,8 +9,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..config import LAYOUT, Layout
 from ..functions import geometry
@@ -19,11 +24,69 @@ BOX = "x0 double, y0 double, x1 double, y1 double"
 SIDES = ("x0", "y0", "x1", "y1")
 
 
-def per_page(rows: DataFrame, key: list[str], fields: list, run, result: str) -> DataFrame:
-    """key and the fields of result: what run makes of each page's rows, structs in the order of fields."""
-    gathered = rows.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("__rows"))
-    made = F.udf(run, f"array<struct<{result}>>", useArrow=True)
-    return gathered.select(*key, F.inline(made("__rows")))
+def per_page(rows: DataFrame, key: list[str], order: list[str], fields: list[str], run, result: str) -> DataFrame:
+    """key and the fields of result: what run makes of whole pages' rows, sorted by order.
+
+    run: from the Arrow arrays of fields and the numbers of the pages' first rows to each made row's page and its columns.
+    """
+    at = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    numbered = rows.select(*key, *(F.col(f).alias(f"__{f}") for f in fields), at.alias("__at"))
+    made = StructType.fromDDL(result)
+    return numbered.mapInArrow(_pages(len(key), run, result), StructType(rows.select(*key).schema.fields + made.fields))
+
+
+ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+
+
+def _pages(n_keys: int, run, result: str):
+    """Cuts the stream of numbered rows where numbers start anew; holds the rows of one page and one batch."""
+    names, kinds = zip(*(r.split() for r in result.split(", ")))
+
+    def outcome(held):
+        """held: batches of whole pages."""
+        rows = pa.Table.from_batches(held).combine_chunks()
+        columns = [c.chunk(0) for c in rows.columns]
+        starts = np.flatnonzero(columns[-1].to_numpy() == 1)
+        pages, made = run(columns[n_keys:-1], starts)
+        at = pa.array(starts[np.asarray(pages, np.int64)])
+        made = [v if isinstance(v, pa.Array) else pa.array(v, ARROW[k]) for v, k in zip(made, kinds)]
+        return pa.RecordBatch.from_arrays([*(k.take(at) for k in columns[:n_keys]), *made], [*rows.column_names[:n_keys], *names])
+
+    def stream(batches):
+        held: list = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("__at").to_numpy() == 1)
+            if len(starts):  # all pages before the last start are whole
+                if last := int(starts[-1]):
+                    held.append(b.slice(0, last))
+                if held:
+                    yield outcome(held)
+                held, b = [], b.slice(last)
+            if len(b):
+                held.append(b)
+        if held:
+            yield outcome(held)
+
+    return stream
+
+
+def _one_by_one(run, n_made: int):
+    """run for per_page from one that makes tuples of the list of a page's rows."""
+
+    def pages(columns, starts):
+        rows = list(zip(*(c.to_pylist() for c in columns)))
+        at, got = [], []
+        for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(rows)])):
+            more = run(rows[i:j])
+            got += more
+            at += [k] * len(more)
+        return at, list(zip(*got)) if got else [[]] * n_made
+
+    return pages
+
+
+def _sided(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({s: F.col(s).cast("double") for s in SIDES})
 
 
 def near(a, b, gap: float) -> bool:
@@ -68,23 +131,62 @@ def close_rects(rects: list[tuple], gap: float) -> list[tuple]:
 def merge_rects(rects: DataFrame, key: list[str], gaps: tuple = LAYOUT.table_gaps) -> DataFrame:
     """key, part, x0, y0, x1, y1: boxes of each page's rectangles (in the order of seq), closed under each gap in turn."""
 
-    def run(rows):
-        boxes = [tuple(r)[1:] for r in rows]
+    def run(boxes):
         for g in gaps:
             boxes = close_rects(boxes, g)
         return [(k + 1, *b) for k, b in enumerate(boxes)]
 
-    return per_page(rects, key, ["seq", *(F.col(s).cast("double").alias(s) for s in SIDES)], run, f"part int, {BOX}")
+    return per_page(_sided(rects), key, ["seq", *SIDES], list(SIDES), _one_by_one(run, 5), f"part int, {BOX}")
 
 
-def joined_text(spans: list, gap: float) -> str:
-    text, end = "", None
-    for s in spans:
-        if end is not None and (s.x0 - end > gap or not (text[-1:] in tuple(' -“"(/') or s.text[:1] in tuple(",.):;"))):
-            text += " "
-        text += s.text
-        end = s.x1
-    return text.strip()
+def _tenths(y: np.ndarray) -> np.ndarray:
+    """Python's round(y, 1), which numpy's differs from near halves."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        out, part = np.round(y, 1), np.abs(y * 10 % 1 - 0.5)
+        odd = np.flatnonzero(np.isfinite(y) & ((part < 1e-3) | (np.abs(y) > 1e9)))
+    out[odd] = [round(v, 1) for v in y[odd].tolist()]
+    return out
+
+
+def _line_of_runs(page: list[int], y: list[float], size: list[int], gap: float) -> list[int]:
+    """The line that each run of spans at one height joins, the first of its page whose running mean is close.
+
+    Lines are numbered as they begin. Heights of a page rise but for rounding and those that are no numbers come last,
+    so lines far above are never met again. All spans of a run join one line, as its mean only comes closer to them.
+    """
+    out, live, n, on = [], [], 0, None
+    for p, h, k in zip(page, y, size):
+        if p != on:
+            on, live = p, []
+        at = next((x for x in live if abs(x[0] - h) <= gap), None)
+        if at is None:
+            at = [h, n]
+            n += 1
+            live = [x for x in live if x[0] >= h - gap - 0.2]
+            live.append(at)
+            k -= 1
+        while k and (mean := (at[0] + h) / 2) != at[0]:
+            at[0] = mean
+            k -= 1
+        out.append(at[1])
+    return out
+
+
+_BYTES = np.arange(256)
+OPENING, CLOSING = np.isin(_BYTES, list(b' -"(/')), np.isin(_BYTES, list(b",.):;"))
+
+
+def _spaced(texts: pa.Array, x0: np.ndarray, x1: np.ndarray, gap: float) -> np.ndarray:
+    """Whether a space is due before each span, if another is before it; no text is empty."""
+    offs = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)
+    first, end = offs[:-1], offs[1:]
+    opens = OPENING[raw[end - 1]]
+    for i in np.flatnonzero((raw[end - 1] == 0x9C) & (end - first >= 3)).tolist():
+        opens[i] = raw[end[i] - 3 : end[i]].tobytes() == "“".encode()
+    due = np.zeros(len(texts), bool)
+    due[1:] = (x0[1:] - x1[:-1] > gap) | ~(opens[:-1] | CLOSING[raw[first[1:]]])
+    return due
 
 
 def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
@@ -93,26 +195,40 @@ def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> Da
     spans: key, seq, text, x0..y1, is_bold; those without text are left out.
     """
 
-    def run(rows):
-        lines: list[list] = []
-        for s in sorted(rows, key=lambda s: (round(s.y0, 1), s.x0)):
-            at = next((x for x in lines if abs(x[0] - s.y0) <= cfg.row_gap), None)
-            if at is None:
-                lines.append([s.y0, s])
-            else:
-                at[0] = (at[0] + s.y0) / 2
-                at.append(s)
-        out = []
-        for _, *got in lines:
-            box = tuple(got[0][k] for k in SIDES)
-            for s in got[1:]:
-                box = around(box, tuple(s[k] for k in SIDES))
-            out.append((joined_text(sorted(got, key=lambda s: s.x0), cfg.word_gap), *box, sum(bool(s.is_bold) for s in got) / len(got)))
-        out.sort(key=lambda r: (r[2], r[1]))
-        return [(k, *r) for k, r in enumerate(out)]
-
-    fields = ["seq", "text", *(F.col(s).cast("double").alias(s) for s in SIDES), "is_bold"]
-    return per_page(spans.where("text <> ''"), key, fields, run, f"line_no int, text string, {BOX}, bold_share double")
+    def run(columns, starts):
+        text, *sides, bold = columns
+        if sides[1].null_count:
+            raise ValueError("a span with text has no y0")
+        x0, y0, x1, y1 = (c.to_numpy(zero_copy_only=False) for c in sides)
+        lost = [c.is_null().to_numpy(zero_copy_only=False) for c in sides]
+        page = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(text)))
+        order = np.lexsort((x0, _tenths(y0), page))
+        p, y = page[order], y0[order]
+        runs = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (y[1:] != y[:-1])]))
+        size = np.diff(runs, append=len(y))
+        line = np.repeat(_line_of_runs(p[runs].tolist(), y[runs].tolist(), size.tolist(), cfg.row_gap), size)
+        again = np.lexsort((x0[order], line))
+        order, line = order[again], line[again]
+        first = np.flatnonzero(np.diff(line, prepend=-1))
+        n = np.diff(first, append=len(line))
+        texts = text.cast(pa.string()).take(pa.array(order))
+        due = _spaced(texts, x0[order], x1[order], cfg.word_gap)
+        due[1:] &= ~lost[2][order][:-1]
+        due[first] = False
+        parts = pc.binary_join_element_wise(pc.if_else(pa.array(due), " ", ""), texts, "")
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(first, len(line)), pa.int32()), parts), "")
+        box = [f.reduceat(v[order], first) for f, v in zip((np.minimum, np.minimum, np.maximum, np.maximum), (x0, y0, x1, y1))]
+        lost = [np.logical_or.reduceat(v[order], first) for v in lost]
+        share = np.add.reduceat(pc.fill_null(bold, False).to_numpy(zero_copy_only=False)[order].astype(np.int64), first) / n
+        at = page[order[first]]
+        rank = np.lexsort((box[0], box[1], at))
+        at = at[rank]
+        number = np.arange(len(at)) - np.searchsorted(at, at)
+        stripped = [t.strip() for t in joined.take(pa.array(rank)).to_pylist()]
+        return at, [number, stripped, *(pa.array(v[rank], mask=x[rank]) for v, x in zip(box, lost)), share[rank]]
+
+    fields = ["text", *SIDES, "is_bold"]
+    return per_page(_sided(spans.where("text <> ''")), key, ["seq", *fields], fields, run, f"line_no int, text string, {BOX}, bold_share double")
 
 
 def bold_lines(lines: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:
@@ -125,20 +241,21 @@ def merge_bold(lines: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFr
 
     def run(rows):
         blocks: list[tuple] = []
-        for r in rows:
-            box = tuple(r[k] for k in SIDES)
+        for y0, x0, text, x1, y1 in rows:
+            box = x0, y0, x1, y1
             if blocks:
-                text, cur = blocks[-1]
-                beside = abs(r.y0 - cur[1]) <= cfg.row_gap and r.x0 >= cur[0]
-                below = 0 <= r.y0 - cur[3] <= cfg.bold_next and abs(r.x0 - cur[0]) <= cfg.bold_shift
+                parts, cur = blocks[-1]
+                beside = abs(y0 - cur[1]) <= cfg.row_gap and x0 >= cur[0]
+                below = 0 <= y0 - cur[3] <= cfg.bold_next and abs(x0 - cur[0]) <= cfg.bold_shift
                 if beside or below:
-                    blocks[-1] = (f"{text} {r.text}", around(cur, box))
+                    parts.append(text)
+                    blocks[-1] = parts, around(cur, box)
                     continue
-            blocks.append((r.text, box))
-        return [(k, re.sub(r"\s{2,}", " ", text).strip(), *box) for k, (text, box) in enumerate(blocks)]
+            blocks.append(([text], box))
+        return [(k, re.sub(r"\s{2,}", " ", " ".join(parts)).strip(), *box) for k, (parts, box) in enumerate(blocks)]
 
-    fields = [F.col(s).cast("double").alias(s) for s in ("y0", "x0")] + ["line_no", "text"] + [F.col(s).cast("double").alias(s) for s in ("x1", "y1")]
-    return per_page(bold_lines(lines, cfg), key, fields, run, f"block_no int, text string, {BOX}")
+    order = ["y0", "x0", "line_no", "text", "x1", "y1"]
+    return per_page(_sided(bold_lines(lines, cfg)), key, order, ["y0", "x0", "text", "x1", "y1"], _one_by_one(run, 6), f"block_no int, text string, {BOX}")
 
 
 def table_pages(segments: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillstream.functions import text
@@ -177,6 +178,17 @@ def test_bold_blocks_keep_single_tabs(spark):
     assert [r.text for r in layout.merge_bold(df, ["page"]).collect()] == ["a\tb c d"]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["bold_merge"])
+def test_pages_stream_and_spans_are_not_shuffled(spark, name):
+    plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
+    assert "collect_list" not in plan and "ArrowEvalPython" not in plan
+    assert plan.rindex("Exchange ") > plan.rindex("Generate ")  # the last line is the scan
+
+
 def test_formatting_of_questions():
     assert questions.formatted("uno\ndos\n\na  b   c\nd  e\nfin") == "uno dos\na;b;c\nd;e;\nfin"
     assert questions.formatted("lista:\na) x\nb) y\r\n") == "lista: \n a) x \n b) y"
