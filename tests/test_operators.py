@@ -178,11 +178,61 @@ def test_bold_blocks_keep_single_tabs(spark):
     assert [r.text for r in layout.merge_bold(df, ["page"]).collect()] == ["a\tb c d"]
 
 
+def plain_lines(spans, cfg=layout.LAYOUT):
+    """Lines of one page's spans (text, x0, y0, x1, y1, bold) by the rule itself."""
+    lines = []
+    for s in sorted(spans, key=lambda s: (round(s[2], 1), s[1])):
+        at = next((x for x in lines if abs(x[0] - s[2]) <= cfg.row_gap), None)
+        if at is None:
+            lines.append([s[2], s])
+        else:
+            at[0] = (at[0] + s[2]) / 2
+            at.append(s)
+    out = []
+    for _, *got in lines:
+        text, end = "", None
+        for t, x0, _, x1, *_ in sorted(got, key=lambda s: s[1]):
+            if end is not None and (x0 - end > cfg.word_gap or not (text[-1:] in tuple(' -“"(/') or t[:1] in tuple(",.):;"))):
+                text += " "
+            text, end = text + t, x1
+        _, x0, y0, x1, y1, bold = zip(*got)
+        out.append((text.strip(), min(x0), min(y0), max(x1), max(y1), sum(bold) / len(bold)))
+    out.sort(key=lambda r: (r[2], r[1]))
+    return [(k, *r) for k, r in enumerate(out)]
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_lines_by_brute_force_across_batches(spark, batch):
+    rng = np.random.default_rng(12)
+    words = ["a", "“", "x“", "Ü", "ñ-", "(", ",b", ".", "/", " ", "\u00a0c", "e\x1c", "d ", "Ӝ", ":", '"']
+    pages = {}
+    for page in range(40):
+        n = int(rng.integers(1, 60))
+        y = rng.choice([rng.integers(0, 400, n) * 0.05, rng.integers(0, 40, n) * 0.5, rng.uniform(0, 90, n)][page % 3], n)
+        pages[page] = [(str(rng.choice(words)), float(x), float(h), float(x + w), float(h + 5), bool(b)) for x, h, w, b in zip(rng.integers(0, 60, n), y, rng.integers(1, 12, n), rng.integers(0, 2, n))]
+    rows = [(p, k, *s) for p, spans in pages.items() for k, s in enumerate(spans)]
+    df = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows)).tolist()], "page int, seq int, text string, x0 double, y0 double, x1 double, y1 double, is_bold boolean")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {}
+        for r in layout.assemble_lines(df, ["page"]).collect():
+            got.setdefault(r.page, []).append(tuple(r)[1:])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert {p: sorted(v) for p, v in got.items()} == {p: plain_lines(v) for p, v in pages.items()}
+
+
+def test_heights_are_rounded_as_python_does():
+    y = np.concatenate([np.arange(-4000, 40000) * 0.05, np.arange(3000) * 0.125, [1e16 + 2, 123456789012.35, -0.04, np.inf]])
+    assert layout._tenths(y).tolist() == [round(v, 1) for v in y.tolist()]
+
+
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["bold_merge"])
+@pytest.mark.parametrize("name", ["line_assembly", "bold_merge"])
 def test_pages_stream_and_spans_are_not_shuffled(spark, name):
     plan = plan_of(catalog.QUERIES[name](spark, "/root/testdata/sf0.001"))
     assert "collect_list" not in plan and "ArrowEvalPython" not in plan
