@@ -20,6 +20,7 @@ from __future__ import annotations
 import random
 import zlib
 from bisect import bisect_left, insort
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,12 +53,12 @@ def _pieces(path: str, capacity: int):
 
 
 class Packing:
-    """Bins of item numbers and how full each is."""
+    """Bins of item numbers and how full each is; its fitness is asked only when it is complete."""
 
     def __init__(self, bins: list[list[int]], loads: list[int]):
         self.bins, self.loads = bins, loads
 
-    @property
+    @cached_property
     def fitness(self) -> tuple[int, int]:
         return -len(self.bins), sum(x * x for x in self.loads)
 
@@ -145,6 +146,8 @@ def epoch(size: list[int], capacity: int, land: list[Packing], rng: random.Rando
     return land
 
 
+#: Islands that one task evolves; they are few bytes and much work, so sizes in bytes must not put them together.
+ISLANDS_EACH = 4
 ISLAND = "block long, island int, sizes binary, land array<binary>, bins long, spread long"
 
 
@@ -209,7 +212,7 @@ def _place(capacity: int, level: int, move: int):
 
 
 def pack(
-    docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, per_block: int = 1500, move: int = 16, seed: int = 7, islands: int = 3, people: int = 3, epochs: int = 2, generations: int = 4
+    docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, per_block: int = 1500, move: int = 16, seed: int = 7, islands: int = 3, people: int = 8, epochs: int = 3, generations: int = 60
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
@@ -233,7 +236,7 @@ def pack(
         lands = dealt.groupBy("block").applyInArrow(_islands(islands), "block long, island int, sizes binary, land array<binary>")
         least = -(-total // capacity) if n == 1 else 0
         for e in range(epochs):
-            lands = written(lands.repartition("block", "island").mapInArrow(_epoch(capacity, seed + e, people, generations, least), ISLAND), "islands")
+            lands = written(lands.repartition(-(-n * islands // ISLANDS_EACH), "block", "island").mapInArrow(_epoch(capacity, seed + e, people, generations, least), ISLAND), "islands")
             if e < epochs - 1:
                 elite = lands.select("block", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("land")[0].alias("elite"))
                 stay = F.slice("land", 1, max(1, people - 1))

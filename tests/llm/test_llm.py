@@ -204,6 +204,22 @@ def test_packing_evolves_and_migrates(spark):
     assert len({r.sequence_id for r in rows}) < plain and len(rows) == 60
 
 
+def test_packing_beats_best_fit_as_it_is_called():
+    import inspect
+    import random
+
+    given = {k: v.default for k, v in inspect.signature(packing.pack).parameters.items()}
+    for seed in range(8):
+        size, least = triplets(20, seed), []
+        down = sorted(range(60), key=lambda i: -size[i])
+        for island in range(given["islands"]):
+            land = []
+            for e in range(given["epochs"]):
+                land = packing.epoch(size, 1000, land, random.Random(f"{seed}:{island}:{e}"), given["people"], given["generations"], 20)
+            least.append(len(land[0].bins))
+        assert min(least) < len(packing.best_fit(packing.Packing([], []), down, size, 1000).bins)
+
+
 def test_paired_sizes_meet_across_blocks(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(["a"] * (n - 1)) for n in rng.permutation([11] * 300 + [9] * 300).tolist()]
