@@ -1,7 +1,8 @@
 """Page geometry: order-dependent steps on one page's rows at a time, and the page's gates and predicates as columns.
 
 A page's rows are sorted next to each other and stream through Python, so one page must fit a task and pages spread over
-tasks whatever their number. Rows that are already dealt out by the page's key are not shuffled again.
+tasks whatever their number. Rows that are already dealt out by the page's key are not shuffled again; those that already
+stand together (as rows do that one row was exploded into) need not be sorted by Spark either.
 Null texts count as empty. Rows with equal sort keys keep the order of ``seq``.
 """
 
@@ -24,46 +25,100 @@ BOX = "x0 double, y0 double, x1 double, y1 double"
 SIDES = ("x0", "y0", "x1", "y1")
 
 
-def per_page(rows: DataFrame, key: list[str], order: list[str], fields: list[str], run, result: str) -> DataFrame:
+def per_page(rows: DataFrame, key: list[str], order: list[str], fields: list[str], run, result: str, together: bool = False) -> DataFrame:
     """key and the fields of result: what run makes of whole pages' rows, sorted by order.
 
     run: from the Arrow arrays of fields and the numbers of the pages' first rows to each made row's page and its columns.
+    together: the caller has put each page's rows next to each other in one partition; only pages that are out of order
+    are sorted, in Python. Keys are then no floating numbers.
     """
+    made = StructType.fromDDL(result)
+    schema = StructType(rows.select(*key).schema.fields + made.fields)
+    if together:
+        held = [*fields, *(o for o in order if o not in fields)]
+        cut = rows.select(*key, *(F.col(f).alias(f"__{f}") for f in held))
+        return cut.mapInArrow(_pages(len(key), len(fields), run, result, [len(key) + held.index(o) for o in order]), schema)
     at = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
     numbered = rows.select(*key, *(F.col(f).alias(f"__{f}") for f in fields), at.alias("__at"))
-    made = StructType.fromDDL(result)
-    return numbered.mapInArrow(_pages(len(key), run, result), StructType(rows.select(*key).schema.fields + made.fields))
+    return numbered.mapInArrow(_pages(len(key), len(fields), run, result), schema)
 
 
 ARROW = {"int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 
 
-def _pages(n_keys: int, run, result: str):
-    """Cuts the stream of numbered rows where numbers start anew; holds the rows of one page and one batch."""
+def _turns(c: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are alike."""
+    a, b = c.slice(1), c.slice(0, len(c) - 1)
+    out = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return out | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False)) if c.null_count else out
+
+
+def _rank(v):
+    """Sorts as Spark does: nulls first, NaN last, structs by their fields."""
+    if isinstance(v, dict):
+        return 1, tuple(_rank(x) for x in v.values())
+    return (0,) if v is None else (2,) if v != v else (1, v)
+
+
+def _in_order(rows: pa.RecordBatch, starts: np.ndarray, order: list[int]) -> pa.RecordBatch:
+    """rows with each page sorted by the columns numbered in order; whole numbers that rise are only looked at."""
+    first = rows.column(order[0])
+    if pa.types.is_integer(first.type) and not first.null_count:
+        n = first.to_numpy()
+        rising = n[1:] > n[:-1]
+        rising[starts[1:] - 1] = True
+        if rising.all():
+            return rows
+    ranks = [tuple(map(_rank, r)) for r in zip(*(rows.column(k).to_pylist() for k in order))]
+    at = [k for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(ranks)]) for k in sorted(range(i, j), key=ranks.__getitem__)]
+    return rows.take(pa.array(at))
+
+
+def _pages(n_keys: int, n_fields: int, run, result: str, order: list[int] | None = None):
+    """Cuts the stream of rows where pages begin; holds the rows of one page and one batch.
+
+    order: None if rows are sorted and their last column numbers them, else the columns to sort a page by.
+    """
     names, kinds = zip(*(r.split() for r in result.split(", ")))
 
+    def begun(b, before=None):
+        """The rows that begin a page; before: a row that the first follows."""
+        if order is None:
+            return np.flatnonzero(b.column(b.num_columns - 1).to_numpy() == 1)
+        new = np.zeros(len(b), bool)
+        new[:1] = before is None
+        for k, c in enumerate(b.columns[:n_keys]):
+            turns = _turns(c if before is None else pa.concat_arrays([before.column(k), c]))
+            new[len(b) - len(turns) :] |= turns
+        return np.flatnonzero(new)
+
     def outcome(held):
         """held: batches of whole pages."""
-        rows = pa.Table.from_batches(held).combine_chunks()
-        columns = [c.chunk(0) for c in rows.columns]
-        starts = np.flatnonzero(columns[-1].to_numpy() == 1)
-        pages, made = run(columns[n_keys:-1], starts)
+        (rows,) = pa.Table.from_batches(held).combine_chunks().to_batches()
+        starts = begun(rows)
+        if order is not None:
+            rows = _in_order(rows, starts, order)
+        columns = rows.columns
+        pages, made = run(columns[n_keys : n_keys + n_fields], starts)
         at = pa.array(starts[np.asarray(pages, np.int64)])
         made = [v if isinstance(v, pa.Array) else pa.array(v, ARROW[k]) for v, k in zip(made, kinds)]
-        return pa.RecordBatch.from_arrays([*(k.take(at) for k in columns[:n_keys]), *made], [*rows.column_names[:n_keys], *names])
+        return pa.RecordBatch.from_arrays([*(k.take(at) for k in columns[:n_keys]), *made], [*rows.schema.names[:n_keys], *names])
 
     def stream(batches):
         held: list = []
+        before = None
         for b in batches:
-            starts = np.flatnonzero(b.column("__at").to_numpy() == 1)
+            if not len(b):
+                continue
+            starts = begun(b, before)
+            before = b.slice(len(b) - 1)
             if len(starts):  # all pages before the last start are whole
                 if last := int(starts[-1]):
                     held.append(b.slice(0, last))
                 if held:
                     yield outcome(held)
                 held, b = [], b.slice(last)
-            if len(b):
-                held.append(b)
+            held.append(b)
         if held:
             yield outcome(held)
 
@@ -189,10 +244,10 @@ def _spaced(texts: pa.Array, x0: np.ndarray, x1: np.ndarray, gap: float) -> np.n
     return due
 
 
-def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> DataFrame:
+def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT, together: bool = False) -> DataFrame:
     """Lines of each page: spans in reading order join the first line whose running mean height is close.
 
-    spans: key, seq, text, x0..y1, is_bold; those without text are left out.
+    spans: key, seq, text, x0..y1, is_bold; those without text are left out. together: as in per_page.
     """
 
     def run(columns, starts):
@@ -228,7 +283,7 @@ def assemble_lines(spans: DataFrame, key: list[str], cfg: Layout = LAYOUT) -> Da
         return at, [number, stripped, *(pa.array(v[rank], mask=x[rank]) for v, x in zip(box, lost)), share[rank]]
 
     fields = ["text", *SIDES, "is_bold"]
-    return per_page(_sided(spans.where("text <> ''")), key, ["seq", *fields], fields, run, f"line_no int, text string, {BOX}, bold_share double")
+    return per_page(_sided(spans.where("text <> ''")), key, ["seq", *fields], fields, run, f"line_no int, text string, {BOX}, bold_share double", together)
 
 
 def bold_lines(lines: DataFrame, cfg: Layout = LAYOUT) -> DataFrame:

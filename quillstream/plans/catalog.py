@@ -551,27 +551,27 @@ def paragraph_normalize(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(text.paragraphs(raw).cast("binary")).alias("h"))
 
 
-#: Bytes of stored documents whose spans a task sorts without spilling.
+#: Bytes of stored documents whose spans one task makes.
 SPANS_FROM = 4 << 20
 
 
 def _spans(spark, d):
-    """Words of a document's lines as spans on a page; texts are dealt out by page, so that spans need not be."""
+    """Words of a document's lines as spans on a page; texts are dealt out and sorted by page, so that spans need not be."""
     docs = table(spark, d, "documents")
     n = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // SPANS_FROM + 1
-    docs = docs.select("doc_id", "text").repartition(n, "doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).select("doc_id", "row", F.posexplode(F.split("line", " ")).alias("col", "text"))
+    docs = docs.select("doc_id", "text").repartition(n, "doc_id").sortWithinPartitions("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "line")).select("doc_id", "row", F.posexplode(F.split("line", " ")).alias("col", "text"))
     x, y = F.col("col") * 40.0, F.col("row") * 8.0 + F.pmod("col", F.lit(3)) * 0.5
     return docs.where("text <> ''").select("doc_id", (F.col("row") * 10000 + F.col("col")).alias("seq"), "text", x.alias("x0"), y.alias("y0"), (x + F.length("text") * 5).alias("x1"), (y + 6).alias("y1"), (F.col("row") % 4 == 0).alias("is_bold"))
 
 
 @query("line_assembly")
 def line_assembly(spark, d):
-    return layout.assemble_lines(_spans(spark, d), ["doc_id"])
+    return layout.assemble_lines(_spans(spark, d), ["doc_id"], together=True)
 
 
 @query("bold_merge")
 def bold_merge(spark, d):
-    return layout.merge_bold(layout.assemble_lines(_spans(spark, d), ["doc_id"]), ["doc_id"])
+    return layout.merge_bold(layout.assemble_lines(_spans(spark, d), ["doc_id"], together=True), ["doc_id"])
 
 
 @query("rect_merge")

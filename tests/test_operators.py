@@ -239,6 +239,33 @@ def test_pages_stream_and_spans_are_not_shuffled(spark, name):
     assert plan.rindex("Exchange ") > plan.rindex("Generate ")  # the last line is the scan
 
 
+def test_spans_are_neither_windowed_nor_sorted(spark):
+    plan = plan_of(catalog.QUERIES["line_assembly"](spark, "/root/testdata/sf0.001"))
+    assert "Window" not in plan and plan.count("Sort ") == 1 and plan.rindex("Sort ") > plan.rindex("Generate ")
+
+
+@pytest.mark.parametrize("seq", ["int", "struct<a int, b int>"])
+@pytest.mark.parametrize("batch", ["1", "7", "10000"])
+def test_lines_of_pages_that_stand_together(spark, batch, seq):
+    """Pages in any order, some with rows out of order, equal or missing seq, and one without a key."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for page in [3, None, 1, 9, 2, 7]:
+        at = [None if page == 7 and k % 5 == 0 else k // (1 + (page == 9)) for k in range(12)]
+        part = [(page, "doc", k, str(rng.choice(["a", "b,", "(", "\u201c", ""])), float(x), float(y), float(x) + 3, float(y) + 5, bool(x % 2)) for k, x, y in zip(at, rng.integers(0, 9, 12), rng.integers(0, 4, 12) * 3)]
+        rows += part if page in (3, 1) else [part[i] for i in rng.permutation(12)]
+    if seq != "int":
+        rows = [(*r[:2], None if r[2] is None else (r[2] // 4, r[2]), *r[3:]) for r in rows]
+    df = spark.createDataFrame(rows, f"page int, doc string, seq {seq}, text string, x0 double, y0 double, x1 double, y1 double, is_bold boolean").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got, want = (sorted(map(str, layout.assemble_lines(df, ["doc", "page"], together=x).collect())) for x in (True, False))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert got == want and len({r.split("page=")[1].split(",")[0] for r in got}) == 6
+
+
 def test_formatting_of_questions():
     assert questions.formatted("uno\ndos\n\na  b   c\nd  e\nfin") == "uno dos\na;b;c\nd;e;\nfin"
     assert questions.formatted("lista:\na) x\nb) y\r\n") == "lista: \n a) x \n b) y"
