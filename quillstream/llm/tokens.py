@@ -3,13 +3,16 @@
 White space never reaches a token of this tokenizer and no rule looks across it, so a text's ids are those of its
 white-space-separated chunks. A batch of texts is split and its chunks are numbered by Arrow, so Python handles each
 different chunk of a batch once. Each Python worker keeps a bounded table chunk -> ids; only chunks that it has not
-seen are encoded, many at once, split by the end-of-text token. Texts with the control characters that Arrow, but
+seen are encoded, many at once, split by the end-of-text token. When the table is full, it keeps the chunks that came up
+again. Words of letters that the tokenizer's normalizer leaves as they are skip it. Texts with the control characters that Arrow, but
 not the tokenizer, takes for white space are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from unicodedata import is_normalized as nfc
 
 import numpy as np
@@ -22,6 +25,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 MARK = "<|endoftext|>"
 #: A point or comma that ends a word is a token run of its own, so it can be set apart without changing any id.
 STOP = r"(\pL)([.,])(\s|\z)"
+#: Letters here are the same in every version of Unicode that a tokenizer may be built with.
+SETTLED = re.compile("[ -\u04ff]*")
+#: What skip_normalizer() knows how to leave out.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -31,16 +39,21 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-class Codes(dict):
-    """Chunk -> number; chunks met for the first time get the next number and wait in fresh."""
+def skip_normalizer(path: str):
+    """Tokenizers for words of letters and for any chunks, lower-case, in normal form C and with spaces between.
 
-    def __init__(self):
-        self.fresh: list[str] = []
+    Both are None if the file's rules are others.
+    """
+    from tokenizers import Tokenizer
 
-    def __missing__(self, chunk: str) -> int:
-        self[chunk] = n = len(self)
-        self.fresh.append(chunk)
-        return n
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    normal, pre = parts.get("normalizer") or {}, (parts.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    if normal.get("normalizers") != NORMAL or pre[0] != SPLIT or any("<|" not in t["content"] for t in parts["added_tokens"]):
+        return None, None
+    chunks = Tokenizer.from_str(json.dumps(parts | {"normalizer": None}))
+    pre = parts["pre_tokenizer"] | {"pretokenizers": [{"type": "WhitespaceSplit"}, *pre[1:]]}
+    return Tokenizer.from_str(json.dumps(parts | {"normalizer": None, "added_tokens": [], "pre_tokenizer": pre})), chunks
 
 
 class Encoder:
@@ -50,19 +63,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok, self.most = Tokenizer.from_file(path), most
+        self.words, self.chunks = skip_normalizer(path)
         self.mark = self.tok.token_to_id(MARK)
         self.last = np.zeros(self.tok.get_vocab_size(), bool)  # ids that end a run of letters
         self.last[[v for k, v in self.tok.get_vocab().items() if k.endswith("</w>")]] = True
         self.reset()
 
     def reset(self):
-        self.code = Codes()
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known = pa.array([], pa.large_string())
+        self.start, self.size, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
     def _put(self, at, ids: np.ndarray, sizes: np.ndarray):
-        while len(self.code) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        while len(self.known) > len(self.start):
+            self.start, self.size, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.met))
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.used : self.used + len(ids)] = ids
@@ -70,36 +84,53 @@ class Encoder:
         self.size[at] = sizes
         self.used += len(ids)
 
-    def _learn(self):
-        """Encodes the fresh chunks."""
-        chunks, base = self.code.fresh, len(self.code) - len(self.code.fresh)
+    def _forget(self):
+        """Keeps the chunks that came up in several batches, at most half of ``most``; of those, the ones met most often."""
+        met = self.met[: len(self.known)]
+        kept = np.argsort(-met, kind="stable")[: self.most // 2]
+        kept = np.sort(kept[met[kept] > 1])
+        known, sizes = self.known.take(pa.array(kept)), self.size[kept]
+        ids = self.pool[ragged(self.start[kept], sizes)]
+        self.reset()
+        self.known = known
+        self._put(np.arange(len(kept)), ids, sizes)
+        self.met[: len(kept)] = 1
+
+    def _ids(self, text: str, quick) -> np.ndarray:
+        """The ids of text; quick: a tokenizer that skips the normalizer, if there is one."""
+        ready = quick and SETTLED.fullmatch(text) and text == text.lower() and nfc("NFC", text)
+        return np.array((quick if ready else self.tok).encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, fresh: pa.Array):
+        """Encodes chunks that are not known yet; they get the next numbers."""
+        chunks, base = fresh.to_numpy(zero_copy_only=False).tolist(), len(self.known)
+        self.known = pa.concat_arrays([self.known, fresh])
         plain, words = [], []
         for i, c in enumerate(chunks):
             if "<|" not in c:
                 (words if c.isalpha() else plain).append(i)
-        for i in range(0, len(words), 1000):
-            part = words[i : i + 1000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
+        for i in range(0, len(words), 200):
+            part = words[i : i + 200]
+            ids = self._ids(" ".join([chunks[j] for j in part]), self.words)
             cuts = np.flatnonzero(self.last[ids])
             if len(cuts) == len(part):  # a word of letters is one run
                 self._put(base + np.array(part), ids, np.diff(cuts, prepend=-1))
             else:
                 plain += part
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.tok.encode_batch_fast([f" {MARK} ".join([chunks[j] for j in part])], add_special_tokens=False)[0].ids, np.uint32)
+        for i in range(0, len(plain), 200):
+            part = plain[i : i + 200]
+            ids = self._ids(f" {MARK} ".join([chunks[j] for j in part]), self.chunks)
             cuts = np.concatenate([np.flatnonzero(ids == self.mark), [len(ids)]])
             self._put(base + np.array(part), ids[ids != self.mark], np.diff(cuts, prepend=-1) - 1)
         for i, c in enumerate(chunks):
             if "<|" in c:
                 ids = np.array(self.tok.encode(c, add_special_tokens=False).ids, np.uint32)
                 self._put(np.array([base + i]), ids, np.array([len(ids)]))
-        self.code.fresh = []
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (null: empty), one after another, and how many each text has."""
-        if len(self.code) > self.most:
-            self.reset()
+        if len(self.known) > self.most:
+            self._forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         low = pc.utf8_lower(texts)
         ready = pc.replace_substring_regex(low, STOP, r"\1 \2\3")
@@ -118,10 +149,13 @@ class Encoder:
         words = pc.utf8_split_whitespace(ready)
         edges = words.offsets.to_numpy()
         numbered = words.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
-        chunks = numbered.dictionary.to_pylist()
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        if self.code.fresh:
-            self._learn()
+        found = pc.index_in(numbered.dictionary, value_set=self.known)
+        fresh = found.is_null()
+        codes = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        if found.null_count:
+            codes[fresh.to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(found.null_count)
+            self._learn(numbered.dictionary.filter(fresh))
+        self.met[codes] += 1
         at = numbered.indices.to_numpy()
         sizes = self.size[codes][at]
         ids = self.pool[ragged(self.start[codes][at], sizes)]

@@ -252,6 +252,29 @@ def test_encoder_equals_the_tokenizer_on_whole_texts():
             assert got.tolist() == want[:-1].tolist()
 
 
+def test_full_table_keeps_chunks_that_came_up_again(monkeypatch):
+    enc, learnt = tokens.Encoder(tokens.tokenizer_path(), most=30), []
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda fresh: (learnt.append(fresh.to_pylist()), learn(fresh))[1])
+    often = "alfa beta*** gamma, d\u00e9lta. 555-12 "
+    for k in range(12):
+        texts = [often + " ".join(f"w{chr(97 + k)}{chr(97 + i)}" for i in range(9)), "\u0434\u0430 \u2c65x \u4e2d" if k % 3 else "It's Ok"]
+        ids, sizes = enc.encode(pa.array(texts))
+        for got, want in zip(np.split(ids, np.cumsum(sizes)[:-1]), ids_of(texts)):
+            assert got.tolist() == want[:-1].tolist()
+        assert len(enc.known) <= 30 + 20
+    assert sum("alfa" in x for x in learnt) == 1 and sum("555-12" in x for x in learnt) == 1
+
+
+def test_words_that_skip_the_normalizer_keep_their_ids():
+    enc = tokens.Encoder(tokens.tokenizer_path())
+    assert enc.words and enc.chunks
+    texts = ["stra\u00dfe \u00f1and\u00fa \u03c3\u03bf\u03c6\u03cc\u03c2 \u0434\u0430", "foo### 'tis don't x's 1st 555-4354 !!", "\u0374a \u0149b \u01c5c \u0390", "a\u00adb caf\u00e9\u00e9"]
+    ids, sizes = enc.encode(pa.array(texts))
+    for got, want in zip(np.split(ids, np.cumsum(sizes)[:-1]), ids_of(texts)):
+        assert got.tolist() == want[:-1].tolist()
+
+
 def test_shards_read_back(spark):
     path, texts = shared_dir(spark, "t"), [*TEXTS, *ODD]
     n = shards.write_shards(docs(spark, texts), path, per_shard=4, stride=100)
